@@ -141,28 +141,28 @@ def spaced(df: DataFrame, ts: str, gap: int, keys=KEY, span: int = 600_000_000,
             " (acc, t) -> {step})")
     end_of = ("aggregate(ts, CAST({s} AS BIGINT), (acc, t) -> IF(t - acc >= {gap}, t, acc))")
     exits = blocks.withColumn("exits", F.expr(
-        "map_from_arrays(concat(array(CAST({n}L AS BIGINT)), entries),"
-        " transform(concat(array(CAST({n}L AS BIGINT)), entries), s -> {e}))".format(
+        "transform(concat(array(CAST({n}L AS BIGINT)), entries), s -> named_struct('k', s, 'v', {e}))".format(
             n=never, e=end_of.format(s="s", gap=gap))))
-    # chain the hand-overs: one small row per block of media time
-    lead_in = exits.withColumn("resets", F.expr("size(array_distinct(map_values(exits))) = 1"))
+    # chain the hand-overs: one small row per block of media time; a block that ends the same way
+    # whatever came before starts a new chain
     grp = W.partitionBy(*keys).orderBy(_BLK)
-    prev_blk = F.lag(_BLK).over(grp)
-    linked = (lead_in.withColumn("fresh", F.coalesce(prev_blk < F.col(_BLK) - 1, F.lit(True))
-                                 | F.coalesce(F.lag("resets").over(grp), F.lit(True)))
-                     .withColumn("before", F.lag("exits").over(grp)))
-    chains = linked.withColumn("chain", F.sum(F.col("fresh").cast("int")).over(grp))
-    hand_over = ("coalesce(element_at(filter(map_keys(x.exits), k -> k = {v}), 1), {n}L)")
+    resets = F.expr("size(array_distinct(transform(exits, x -> x.v))) = 1")
+    linked = (exits.select(*keys, _BLK, "exits")
+              .withColumn("resets", resets)
+              .withColumn("start", F.coalesce(F.lag(_BLK).over(grp) < F.col(_BLK) - 1, F.lit(True)) | F.lag("resets").over(grp))
+              .withColumn("before", F.lag("exits").over(grp)))
+    chains = linked.withColumn("chain", F.sum(F.col("start").cast("int")).over(grp))
+    carried = "coalesce(try_element_at(filter(x.exits, y -> y.k = {v}), 1).k, {n}L)"
+    first = carried.format(v="get(x.before, 0).v", n=never)
+    following = carried.format(v="try_element_at(filter(x.before, z -> z.k = acc.s), 1).v", n=never)
     chained = (chains.groupBy(*keys, "chain")
-        .agg(F.array_sort(F.collect_list(F.struct(_BLK, "exits", "before"))).alias("links"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col(_BLK).alias("b"), "exits", "before"))).alias("links"))
         .withColumn("links", F.expr(
             "aggregate(links, named_struct('s', CAST(NULL AS BIGINT), 'out', CAST(array() AS array<struct<b:bigint,s:bigint>>)),"
-            " (acc, x) -> named_struct('s', IF(acc.s IS NULL, {first}, {next}), 'out',"
-            " concat(acc.out, array(named_struct('b', x.{blk}, 's', IF(acc.s IS NULL, {first}, {next}))))))".format(
-                blk=_BLK, first=hand_over.format(v="map_values(x.before)[0]", n=never),
-                next=hand_over.format(v="try_element_at(x.before, acc.s)", n=never))))
+            " (acc, x) -> named_struct('s', IF(acc.s IS NULL, {f}, {g}), 'out',"
+            " concat(acc.out, array(named_struct('b', x.b, 's', IF(acc.s IS NULL, {f}, {g}))))))".format(f=first, g=following)))
         .select(*keys, F.explode("links.out").alias("l"))
         .select(*keys, F.col("l.b").alias(_BLK), F.col("l.s").alias("entry")))
-    entry = blocks.drop("entries").join(chained, [*keys, _BLK])
+    entry = blocks.drop("entries").join(fresh(chained), [*keys, _BLK])
     chosen = entry.withColumn("t", F.explode(F.expr(fold.format(s="entry", step=step) + ".out")))
     return chosen.select(*keys, F.col("t").alias(ts))
