@@ -21,6 +21,12 @@ def root(spark: SparkSession) -> str:
     return known
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions rows for a Python operator. Python work per byte is high, so these partitions are
+    kept at the configured count and not merged by size; a grouped operator on the keys reuses them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes the table once as Parquet and reads it back."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"

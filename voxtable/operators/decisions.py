@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.intervals import overlap_join, points_in
 from ..functions.seq import fresh, neighbours, numbered, running, spaced
-from ..functions.stage import stage
+from ..functions.stage import spread, stage
 from . import automaton
 from .paths import path
 
@@ -194,7 +194,7 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
         return pd.DataFrame({"clip_id": pdf["clip_id"], "unit": pdf["unit"], "overlay": now,
                              "giant": [word[i] if i in keep else None for i in range(n)], "log": log})
 
-    return d.groupBy("clip_id").applyInPandas(plan, "clip_id bigint, unit bigint, overlay string, giant string, log array<string>")
+    return spread(d, "clip_id").groupBy("clip_id").applyInPandas(plan, "clip_id bigint, unit bigint, overlay string, giant string, log array<string>")
 
 
 def settle_visuals(planned: DataFrame, dists: DataFrame, templates: DataFrame) -> DataFrame:
@@ -393,7 +393,7 @@ def caption_sections(sections: DataFrame, lifts: DataFrame, global_style: DataFr
             got.append(int(np.argmax(sc)) if np.isfinite(sc).any() else labels.index(own))
         return pd.DataFrame({"clip_id": pdf["clip_id"], "sec": pdf["sec"], "style": [labels[g] for g in got]})
 
-    r = d.groupBy("clip_id").applyInPandas(choose, "clip_id bigint, sec bigint, style string")
+    r = spread(d, "clip_id").groupBy("clip_id").applyInPandas(choose, "clip_id bigint, sec bigint, style string")
     last = sections.groupBy("clip_id").agg(F.max("sec").alias("__last"))
     s = stage(sections.join(fresh(r), ["clip_id", "sec"]).join(fresh(last), "clip_id").join(fresh(totals), "clip_id").select(
         "clip_id", "sec", F.when(F.col("sec") == 0, 0).otherwise(F.col("start_us")).cast("bigint").alias("start_us"),

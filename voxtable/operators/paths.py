@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.seq import BLOCK, KEY, fresh
+from ..functions.stage import spread, stage
 
 
 def path(hops: DataFrame, idx: str, nxt: str, keys=KEY, size: int = BLOCK) -> DataFrame:
@@ -36,7 +37,11 @@ def path(hops: DataFrame, idx: str, nxt: str, keys=KEY, size: int = BLOCK) -> Da
         return pd.DataFrame({**{k: [v] * len(e) for k, v in zip(ks, key)}, "at": e,
                              "exit": pd.array([None if g != g else int(g) for g in got], dtype="Int64")})
 
-    jumps = h.groupBy(*ks, "blk").cogroup(fresh(entries).groupBy(*ks, "blk")).applyInPandas(
+    many = entries.groupBy(*ks).agg(F.count("*").alias("n"))
+    long = many.filter("n > 1").drop("n")
+    # only clips longer than a block need the exits of their blocks
+    in_long = lambda d: fresh(d).join(fresh(long), ks, "left_semi")
+    jumps = in_long(h).groupBy(*ks, "blk").cogroup(in_long(entries).groupBy(*ks, "blk")).applyInPandas(
         exits, f"{key_sql}, at bigint, exit bigint")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,9 +54,8 @@ def path(hops: DataFrame, idx: str, nxt: str, keys=KEY, size: int = BLOCK) -> Da
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(used) for k in ks}, "at": used})
 
     # a clip inside one block has a single entry, its first row; only longer clips are chained
-    many = entries.groupBy(*ks).agg(F.count("*").alias("n"))
     single = head.join(many.filter("n = 1").drop("n"), ks, "left_semi")
-    chained = jumps.join(many.filter("n > 1").drop("n"), ks, "left_semi").groupBy(*ks).applyInPandas(
+    chained = jumps.groupBy(*ks).applyInPandas(
         chain, f"{key_sql}, at bigint")
     true_entry = single.unionByName(chained).withColumn("blk", F.expr(f"CAST(floor(at / {size}) AS BIGINT)"))
 
@@ -67,5 +71,5 @@ def path(hops: DataFrame, idx: str, nxt: str, keys=KEY, size: int = BLOCK) -> Da
                 here = int(t)
         return pd.DataFrame({**{k: [v] * len(used) for k, v in zip(ks, key)}, idx: used})
 
-    return h.groupBy(*ks, "blk").cogroup(fresh(true_entry).groupBy(*ks, "blk")).applyInPandas(
-        walk, f"{key_sql}, {idx} bigint")
+    return stage(spread(h, *ks, "blk").groupBy(*ks, "blk").cogroup(spread(fresh(true_entry), *ks, "blk").groupBy(*ks, "blk")).applyInPandas(
+        walk, f"{key_sql}, {idx} bigint"), "path")

@@ -34,10 +34,10 @@ def marked(words: DataFrame) -> DataFrame:
          .withColumn("__g", F.when(F.col("start_us") - F.col("pe") >= fixed.TAKE_SNAP_US, F.col("i"))) \
          .withColumn("__c", F.when(text.is_content("n", "retake"), F.col("i"))) \
          .withColumn("__e", F.when(F.col("stop"), F.col("i")))
-    blk = [c for c in w.columns if c.startswith("__blk")]
+    w = stage(w.drop("__blk"), "word_marks")
     w = running(w, "i", {"last_stop": ("last", "__s"), "last_gap": ("last", "__g")})
     w = running(w, "i", {"next_content": ("last", "__c"), "next_stop": ("last", "__e")}, reverse=True)
-    return w.drop("__s", "__g", "__c", "__e", *blk)
+    return w.drop("__s", "__g", "__c", "__e")
 
 
 def equal_pairs(m: DataFrame, reach: int = fixed.RETAKE_WORDS + 1) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text
 from ..functions.intervals import points_in
-from ..functions.seq import BLOCK, neighbours, running
+from ..functions.seq import neighbours, running
+from ..functions.stage import spread, stage
 
 
 def joined(col: str, order: str = "i", when: Column | None = None) -> Column:
@@ -129,20 +130,25 @@ def giant_words(units: DataFrame, words: DataFrame, emphasis: DataFrame) -> Data
 def _least_cost_cuts(start: np.ndarray, end: np.ndarray, bq: np.ndarray, is_end: bool) -> list[int]:
     """Cut positions (exclusive ends) of the cheapest cover of one stretch of words."""
     n = len(start)
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-    best[0] = 0.0
-    low = np.searchsorted(start, end - fixed.SHOT_LOOKBACK_US, side="left")
-    for j in range(1, n + 1):
-        lo = min(int(low[j - 1]), j - 1)
-        d = (end[j - 1] - start[lo:j]) / 1e6
+    low = np.minimum(np.searchsorted(start, end - fixed.SHOT_LOOKBACK_US, side="left"), np.arange(n))
+    reach = int((np.arange(n) - low).max()) + 1
+    # costs of the shots ending with a word, by how many words they hold; many words at a time
+    best, back = np.full(n + reach, np.inf), np.zeros(n + 1, dtype=np.int64)
+    best[reach - 1] = 0.0                       # best[reach - 1 + j]: cheapest cover of the first j words
+    size = np.arange(1, reach + 1)              # the latest start comes first, so it wins a tie
+    for block in range(0, n, 4096):
+        j = np.arange(block, min(n, block + 4096))
+        first = j[:, None] + 1 - size[None, :]
+        d = (end[j][:, None] - start[np.maximum(first, 0)]) / 1e6
         over, under = np.maximum(d - fixed.SHOT_MAX_S, 0.0), np.maximum(fixed.SHOT_MIN_S - d, 0.0)
-        cost = ((d - fixed.SHOT_TARGET_S) ** 2 + np.where(over > 0, 40 * over ** 2 + 4, 0.0)
-                + np.where(under > 0, 25 * under ** 2 + 2, 0.0))
-        if not (is_end and j == n):
-            cost = cost - bq[j - 1]
-        total = np.round(best[lo:j] + cost, 9)
-        k = len(total) - 1 - int(np.argmin(total[::-1]))      # the latest start wins a tie
-        best[j], back[j] = total[k], lo + k
+        cost = (d - fixed.SHOT_TARGET_S) ** 2 + np.where(over > 0, 40 * over ** 2 + 4, 0.0) + np.where(under > 0, 25 * under ** 2 + 2, 0.0)
+        cost -= np.where(is_end & (j == n - 1), 0.0, bq[j])[:, None]
+        cost[first < low[j][:, None]] = np.inf
+        cost = np.round(cost, 9)
+        for row, k in zip(cost, j):
+            total = best[k:k + reach][::-1] + row
+            m = int(total.argmin())
+            best[reach + k], back[k + 1] = total[m], k - m
     cuts, j = [], n
     while j > 0:
         cuts.append(j)
@@ -168,9 +174,9 @@ def split_shots(words: DataFrame) -> DataFrame:
         return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "first_i": i[heads], "last_i": i[cuts - 1],
                              "start_us": s[heads], "end_us": e[cuts - 1]})
 
-    shots = r.groupBy("clip_id", "stretch").applyInPandas(
+    shots = spread(r, "clip_id", "stretch").groupBy("clip_id", "stretch").applyInPandas(
         solve, "clip_id bigint, first_i bigint, last_i bigint, start_us bigint, end_us bigint")
-    return _contiguous(_fold_tail(shots))
+    return _contiguous(stage(_fold_tail(stage(shots, "shots")), "shots_folded"))
 
 
 def _fold_tail(shots: DataFrame) -> DataFrame:
@@ -209,10 +215,10 @@ def sections(shots: DataFrame, words: DataFrame) -> DataFrame:
     dur = F.col("e_end") - F.col("s_start")
     closing = pairs.filter(((dur >= fixed.SECTION_TARGET_US) & F.col("stop")) | (dur >= fixed.SECTION_MAX_US))
     nxt = closing.groupBy("clip_id", "shot_ord").agg((F.min("e_ord") + 1).alias("nxt"))
-    hops = s.select("clip_id", "shot_ord").join(nxt, ["clip_id", "shot_ord"], "left")
+    hops = stage(s.select("clip_id", "shot_ord").join(nxt, ["clip_id", "shot_ord"], "left"), "section_hops")
     starts = path(hops, "shot_ord", "nxt").withColumn("is_start", F.lit(1).cast("bigint"))
     m = s.select("clip_id", "shot_ord", "start_us", "end_us").join(starts, ["clip_id", "shot_ord"], "left")
-    m = running(m, "shot_ord", {"sec_ord": ("sum", F.coalesce("is_start", F.lit(0).cast("bigint")))})
+    m = running(stage(m, "section_marks"), "shot_ord", {"sec_ord": ("sum", F.coalesce("is_start", F.lit(0).cast("bigint")))})
     agg = lambda d: d.groupBy("clip_id", "sec_ord").agg(
         F.min("shot_ord").alias("first_shot"), F.max("shot_ord").alias("last_shot"),
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))

@@ -7,7 +7,7 @@ from ..functions import fixed
 from ..functions.stage import stage
 from ..operators import repeats as R
 from .corpus import Corpus
-from .oracle_tables import sql_list as L, table
+from .oracle_tables import TABLES, sql_list as L, table
 from .registry import query
 
 
@@ -116,9 +116,25 @@ def sentence_retakes(c):
     return R.sentence_retakes(c.words)
 
 
-@query("stutters", "WITH RECURSIVE " + STUT + " SELECT * FROM stut")
+def doubled(c):
+    """The transcript with a two-, three- or four-word phrase said twice in every fifty words."""
+    from ..functions.seq import numbered
+    n = F.expr("2 + (i DIV 50) % 3")
+    w = c.words.select("clip_id", "text", "start_us", "end_us", F.col("i").cast("bigint").alias("i"))
+    again = w.filter((F.col("i") % 50 >= 20) & (F.col("i") % 50 < 20 + n))
+    both = w.withColumn("o", F.col("i") * 2).unionByName(again.withColumn("o", (F.col("i") - F.col("i") % 50 + 19 + n) * 2 + 1))
+    return numbered(both.withColumnRenamed("i", "was"), "o", "i", order=["o", "was"]).drop("o", "was")
+
+
+STUT2 = STUT.replace("sthits", "sthits2")
+table("dw", """SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY o, i) - 1 AS i, nm AS n, sent_end AS stop, length(nm) >= 3 AND nm NOT IN """ + L(fixed.STOP_RETAKE) + """ AS content FROM (
+  SELECT *, i * 2 AS o FROM nwords UNION ALL SELECT *, (i - i % 50 + 19 + 2 + (i // 50) % 3) * 2 + 1 FROM nwords WHERE i % 50 >= 20 AND i % 50 < 22 + (i // 50) % 3)""")
+table("sthits2", TABLES["sthits"].replace("FROM mw WINDOW", "FROM dw WINDOW"))
+
+
+@query("stutters", "WITH RECURSIVE " + STUT2 + " SELECT * FROM stut")
 def stutters(c):
-    return R.stutters(c.words)
+    return R.stutters(doubled(c))
 
 
 @query("retake_candidates", "WITH RECURSIVE " + CANDS + " SELECT * FROM cands")

@@ -37,7 +37,7 @@ def adaptive_silences(c):
   GROUP BY clip_id, i, g HAVING count(*) >= 3""")
 def voiced_runs(c):
     r = c.words.select("clip_id", "i", "start_us", "next_us")
-    return LV.voiced_runs(c.levels, r, -45.0, "start_us", "next_us").select("clip_id", "i", "run_start_us", "run_end_us")
+    return LV.voiced_runs(LV.loud_runs(c.levels, -45.0), r, "start_us", "next_us").select("clip_id", "i", "run_start_us", "run_end_us")
 
 
 cores = _lazy("cores", lambda c: LV.word_cores(c.levels, c.words, c.clips))
