@@ -113,16 +113,61 @@ def title_copy(raw: DataFrame) -> DataFrame:
 
 
 # ---- overlays: cards, pills and large words ------------------------------------------------------
-def _spread_best_first(start, rank, ok, taken, gap, most=None):
-    """Indices accepted in rank order, each at least ``gap`` from all accepted before it."""
-    got, times = [], list(taken)
-    for i in rank:
-        if most is not None and len(got) >= most:
-            break
-        if ok[i] and all(abs(t - start[i]) >= gap for t in times):
-            got.append(int(i))
-            times.append(start[i])
-    return got
+def best_first(cands: DataFrame, gap: int) -> DataFrame:
+    """Greedy by falling ``p`` (then unit): chosen rows lie at least ``gap`` from every better chosen one.
+
+    cands (clip_id, unit, start_us, p). Candidates cannot influence each other across an empty stretch of
+    ``gap``, so each stretch between such breaks is settled on its own."""
+    r = running(cands, "start_us", {"__pt": ("last", "start_us")}, size=600_000_000, exclusive=True)
+    r = r.withColumn("__new", F.when(F.col("start_us") - F.col("__pt") < gap, 0).otherwise(1).cast("bigint")).drop("__pt")
+    r = running(r, "start_us", {"isle": ("sum", "__new")}, size=600_000_000)
+    g = r.groupBy("clip_id", "isle").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("np"), "unit", "start_us"))).alias("c"))
+    pick = F.expr(f"aggregate(c, slice(c, 1, 0), (kept, x) -> IF(exists(kept, k -> abs(k.start_us - x.start_us) < {gap}), kept, concat(kept, array(x))))")
+    return g.select("clip_id", F.explode(pick).alias("x")).select("clip_id", "x.unit", "x.start_us", (-F.col("x.np")).alias("p"))
+
+
+def _thin_cards(shots: DataFrame, room: DataFrame, cap: float, max_dead_us: int) -> DataFrame:
+    """Units whose card is dropped: least wanted first while cards cover more than ``cap`` of the time, never
+    opening a bare stretch over the limit. shots (clip_id, unit, start_us, end_us, now, graphic), contiguous.
+
+    Losing a card only lengthens bare stretches, so each card is considered once, in order. Cards that may
+    not go from the start, and large words, separate stretches that are settled on their own; the coverage
+    limit then keeps a prefix of all drops in order."""
+    card, bare = F.col("now").isin("card", "keyword_pill"), F.col("now") == "none"
+    dur = F.col("end_us") - F.col("start_us")
+    total = shots.groupBy("clip_id").agg(F.sum(F.when(card, dur)).alias("shown"), F.min("start_us").alias("lo"), F.max("end_us").alias("hi"))
+    total = total.join(fresh(room), "clip_id").filter(F.col("shown") / F.col("room") > cap)
+    s = shots.join(fresh(total), "clip_id").withColumn("bare", bare).withColumn("card", card)
+    s = stage(s, "crowded_shots")
+    r = running(s, "unit", {"__a": ("last", F.when(~F.col("bare"), F.col("end_us")))}, exclusive=True)
+    r = running(stage(r, "crowded_left"), "unit", {"__b": ("last", F.when(~F.col("bare"), F.col("start_us")))}, exclusive=True, reverse=True)
+    stuck = ~F.col("bare") & (~F.col("card") | (F.coalesce("__b", "hi") - F.coalesce("__a", "lo") > max_dead_us))
+    r = stage(r.withColumn("stuck", stuck).drop("__a", "__b"), "crowded_runs")
+    r = running(r.withColumn("__n", F.col("stuck").cast("bigint")), "unit", {"isle": ("sum", "__n")}).filter("NOT stuck")
+    r = r.select("clip_id", "isle", "unit", "start_us", "end_us", "bare", "graphic")
+    some = r.groupBy("clip_id", "isle").agg(F.bool_or(~F.col("bare")).alias("any")).filter("any").drop("any")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("unit")
+        start, end, bare_, graphic = (pdf[c].to_numpy().copy() for c in ("start_us", "end_us", "bare", "graphic"))
+        gone = []
+        for i in sorted(np.flatnonzero(~bare_), key=lambda i: (graphic[i], i)):
+            a = b = i
+            while a > 0 and bare_[a - 1]:
+                a -= 1
+            while b + 1 < len(bare_) and bare_[b + 1]:
+                b += 1
+            if end[b] - start[a] <= max_dead_us:
+                bare_[i] = True
+                gone.append(i)
+        return pdf.iloc[gone][["clip_id", "unit", "graphic", "start_us", "end_us"]]
+
+    r = stage(r, "crowded_stretches")
+    gone = spread(r.join(fresh(some), ["clip_id", "isle"], "left_semi"), "clip_id", "isle").groupBy("clip_id", "isle").applyInPandas(
+        settle, "clip_id bigint, unit bigint, graphic double, start_us bigint, end_us bigint")
+    order = running(stage(gone, "card_drops"), "graphic", {"before": ("sum", "end_us - start_us")}, size=0.001, exclusive=True, order=["graphic", "unit"])
+    return order.join(fresh(total.select("clip_id", "shown", "room")), "clip_id").filter((F.col("shown") - F.col("before")) / F.col("room") > cap) \
+        .select("clip_id", "unit")
 
 
 def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: float = fixed.COVERAGE_CAP,
@@ -131,70 +176,52 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
     (clip_id, unit, overlay, giant, log): the opening stays bare, large words are spaced, cards are thinned.
 
     ``log`` lists 'rule: from -> to' entries in the order they fired."""
+    gap = fixed.GIANT_GAP_US
     d = shots.join(fresh(hook), "clip_id").join(fresh(totals), "clip_id")
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit").reset_index(drop=True)
-        n = len(pdf)
-        start, end = pdf["start_us"].to_numpy(), pdf["end_us"].to_numpy()
-        hook_us, total = int(pdf["hook_end_us"].iloc[0]), int(pdf["duration_us"].iloc[0])
-        now, log = pdf["overlay"].tolist(), [[] for _ in range(n)]
-        word, p_giant, graphic = pdf["giant_word"].tolist(), pdf["p_giant"].to_numpy(), pdf["graphic"].to_numpy()
-        others = pdf[["p_none", "p_card", "p_pill"]].to_numpy()
-
-        def change(i, rule, to):
-            log[i].append(f"{rule}: {now[i]} -> {to}")
-            now[i] = to
-        for i in range(n):
-            if hook_us > 0 and start[i] < hook_us - 200_000 and now[i] != "none":
-                change(i, "hook window stays clean", "none")
-        ranked = sorted(range(n), key=lambda i: (-p_giant[i], i))
-        late = start >= hook_us + fixed.GIANT_AFTER_HOOK_US
-        has = np.array([isinstance(w, str) for w in word])
-        asked = [i for i in ranked if now[i] == "giant_word"]
-        giants = _spread_best_first(start, asked, late & has & allow_giants, [], fixed.GIANT_GAP_US)
-        for i in asked:
-            if i in giants:
-                continue
-            ahead = [g for g in giants if (-p_giant[g], g) < (-p_giant[i], i)]
-            if not allow_giants:
-                why = "no reliable face for a cut-out"
-            elif not late[i]:
-                why = "giant word too close to the hook"
-            elif any(abs(start[g] - start[i]) < fixed.GIANT_GAP_US for g in ahead):
-                why = "giant words at least 8.5 s apart"
-            else:
-                why = "no plain word of 3 to 12 letters in this shot"
-            change(i, why, ["none", "card", "keyword_pill"][int(np.argmax(others[i]))])
-        wanted = (total - hook_us) // fixed.GIANT_EVERY_US if allow_giants else 0
-        if len(giants) < wanted:
-            more = _spread_best_first(start, [i for i in ranked if i not in giants], late & has, [start[g] for g in giants],
-                                      fixed.GIANT_GAP_US, wanted - len(giants))
-            for i in more:
-                change(i, f"no giant word in the first {int(start[i] / 1e6 + 0.5)} s of a {int(total / 1e6 + 0.5)} s clip: best supported shot promoted", "giant_word")
-            giants += more
-        # cards: the least wanted go first; losing one may not open a bare stretch over the limit
-        bare = np.array([o == "none" for o in now])
-        card = np.array([o in ("card", "keyword_pill") for o in now])
-        shown = int((end - start)[card].sum())
-        room = max(1_000_000, total - hook_us)
-        for i in sorted(np.flatnonzero(card), key=lambda i: (graphic[i], i)):
-            if shown / room <= cap:
-                break
-            a, b = i, i
-            while a > 0 and bare[a - 1]:
-                a -= 1
-            while b + 1 < n and bare[b + 1]:
-                b += 1
-            if end[b] - start[a] <= max_dead_us:
-                change(i, f"card density cap ({int(cap * 100 + 0.5)}% of the speaking time)", "none")
-                bare[i] = True
-                shown -= int(end[i] - start[i])
-        keep = set(giants)
-        return pd.DataFrame({"clip_id": pdf["clip_id"], "unit": pdf["unit"], "overlay": now,
-                             "giant": [word[i] if i in keep else None for i in range(n)], "log": log})
-
-    return spread(d, "clip_id").groupBy("clip_id").applyInPandas(plan, "clip_id bigint, unit bigint, overlay string, giant string, log array<string>")
+    inside = (F.col("hook_end_us") > 0) & (F.col("start_us") < F.col("hook_end_us") - 200_000)
+    d = d.withColumn("now", F.when(inside, "none").otherwise(F.col("overlay"))) \
+         .withColumn("late", F.col("start_us") >= F.col("hook_end_us") + fixed.GIANT_AFTER_HOOK_US) \
+         .withColumn("ok", F.col("late") & F.col("giant_word").isNotNull() & F.lit(allow_giants)).withColumn("asked", F.col("now") == "giant_word")
+    d = stage(d, "overlay_shots")
+    cand = lambda f: f.select("clip_id", "unit", "start_us", F.col("p_giant").alias("p"))
+    first = stage(best_first(cand(d.filter("asked AND ok")), gap), "asked_giants")
+    # large words added to clips that run long without one
+    need = d.groupBy("clip_id").agg(F.max(F.floor((F.col("duration_us") - F.col("hook_end_us")) / fixed.GIANT_EVERY_US)).alias("wanted")) \
+        .join(fresh(first.groupBy("clip_id").agg(F.count("*").alias("have"))), "clip_id", "left")
+    need = need.select("clip_id", (F.col("wanted") - F.coalesce("have", F.lit(0))).alias("short")).filter("short > 0")
+    zone = first.select("clip_id", (F.col("start_us") - gap + 1).alias("z0"), (F.col("start_us") + gap - 1).alias("z1"))
+    pts = cand(d.filter("ok")).join(fresh(need), "clip_id").drop("short").withColumn("t0", F.col("start_us")).withColumn("t1", F.col("start_us"))
+    open_ = overlap_join(pts, fresh(zone), ("t0", "t1"), ("z0", "z1"), closed=True, how="left_anti").drop("t0", "t1")
+    more = numbered(stage(best_first(stage(open_, "open_giants"), gap), "more_giants"), "-p", "rank", size=0.001, order=[-F.col("p"), F.col("unit")])
+    more = more.join(fresh(need), "clip_id").filter("rank < short").select("clip_id", "unit")
+    # an asked word without a plain spelling is too close only to better ones that were kept
+    mute = d.filter("asked AND late AND giant_word IS NULL").select("clip_id", "unit", F.col("p_giant").alias("p"), F.col("start_us").alias("m0"), F.col("start_us").alias("m1"))
+    rank = (F.col("k_p") > F.col("p")) | ((F.col("k_p") == F.col("p")) & (F.col("k_unit") < F.col("unit")))
+    kept = first.select("clip_id", F.col("unit").alias("k_unit"), F.col("p").alias("k_p"), (F.col("start_us") - gap + 1).alias("k0"), (F.col("start_us") + gap - 1).alias("k1"))
+    near = overlap_join(mute, fresh(kept), ("m0", "m1"), ("k0", "k1"), closed=True, on=rank).select("clip_id", "unit").distinct()
+    flag = lambda f, name: fresh(f.select("clip_id", "unit")).withColumn(name, F.lit(True))
+    j = d.join(flag(first, "kept"), ["clip_id", "unit"], "left").join(flag(more, "added"), ["clip_id", "unit"], "left").join(flag(near, "near"), ["clip_id", "unit"], "left")
+    why = F.lit("no reliable face for a cut-out") if not allow_giants else \
+        F.when(~F.col("late"), "giant word too close to the hook").when(F.col("giant_word").isNotNull() | F.col("near").isNotNull(), "giant words at least 8.5 s apart") \
+         .otherwise("no plain word of 3 to 12 letters in this shot")
+    refused = F.col("asked") & F.col("kept").isNull()
+    other = F.when((F.col("p_none") >= F.col("p_card")) & (F.col("p_none") >= F.col("p_pill")), "none").when(F.col("p_card") >= F.col("p_pill"), "card").otherwise("keyword_pill")
+    j = j.withColumn("was", F.col("now")).withColumn("why", F.when(refused, why)).withColumn("mid", F.when(refused, other).otherwise(F.col("now")))
+    whole = lambda c: F.floor(c / 1e6 + 0.5).cast("string")
+    j = j.withColumn("now", F.when(F.col("added").isNotNull(), "giant_word").otherwise(F.col("mid")))
+    j = stage(j, "overlay_words")
+    room = j.groupBy("clip_id").agg(F.max(F.greatest(F.lit(1_000_000), F.col("duration_us") - F.col("hook_end_us"))).alias("room"))
+    gone = _thin_cards(j.select("clip_id", "unit", "start_us", "end_us", "now", "graphic"), room, cap, max_dead_us)
+    j = j.join(flag(gone, "gone"), ["clip_id", "unit"], "left")
+    arrow = lambda rule, a, b: F.concat(rule, F.lit(": "), a, F.lit(" -> "), b)
+    log = F.array_compact(F.array(
+        F.when((F.col("was") != F.col("overlay")), arrow(F.lit("hook window stays clean"), F.col("overlay"), F.lit("none"))),
+        F.when(F.col("why").isNotNull(), arrow(F.col("why"), F.lit("giant_word"), F.col("mid"))),
+        F.when(F.col("added").isNotNull(), arrow(F.concat(F.lit("no giant word in the first "), whole(F.col("start_us")), F.lit(" s of a "), whole(F.col("duration_us")),
+                                                          F.lit(" s clip: best supported shot promoted")), F.col("mid"), F.lit("giant_word"))),
+        F.when(F.col("gone").isNotNull(), arrow(F.lit(f"card density cap ({int(cap * 100 + 0.5)}% of the speaking time)"), F.col("now"), F.lit("none")))))
+    return j.select("clip_id", "unit", F.when(F.col("gone").isNotNull(), "none").otherwise(F.col("now")).alias("overlay"),
+                    F.when(F.col("kept").isNotNull() | F.col("added").isNotNull(), F.col("giant_word")).alias("giant"), log.alias("log"))
 
 
 def settle_visuals(planned: DataFrame, dists: DataFrame, templates: DataFrame) -> DataFrame:
