@@ -145,6 +145,22 @@ def test_word_diff(words):
         assert (r.missing, r.extra) == want
 
 
+def test_word_diff_pieces_equal_one_walk(words):
+    r = random.Random(11)
+    pairs = []
+    for clip, vocabulary in ((1, 5000), (2, 5000), (3, 12)):
+        cap = [f"w{r.randrange(vocabulary)}" for _ in range(900)]
+        heard = [x if r.random() > .05 else "other" for x in cap if r.random() > .05]
+        if clip == 2:
+            heard[300:300] = heard[100:140]
+        pairs.append((clip, cap, heard))
+    make = lambda k: [(c, i, t, 0, 0) for c, *xs in pairs for i, t in enumerate(xs[k])]
+    spark = words(("a", 0, 1)).sparkSession
+    table = lambda k: spark.createDataFrame(make(k), "clip_id bigint, i int, text string, start_us bigint, end_us bigint")
+    got = {x.clip_id: (x.missing, x.extra) for x in V.word_diff(table(0), table(1)).collect()}
+    assert got == {c: V._walk(a, b, len(a), len(b), True)[:2] for c, a, b in pairs}
+
+
 def test_drift(words):
     w = lambda s: words(*[(x, k * .3, k * .3 + .2) for k, x in enumerate(s.split())])
     got = [r.kind for r in V.transcript_drift(w("a b c d"), w("a c d e")).orderBy("at_us").collect()]
