@@ -15,7 +15,7 @@ _ROOT = "voxtable.stage.root"
 def root(spark: SparkSession) -> str:
     known = spark.conf.get(_ROOT, None)
     if known is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
         known = f"{base.rstrip('/')}/voxtable-{uuid.uuid4().hex[:12]}"
         spark.conf.set(_ROOT, known)
     return known
