@@ -1,9 +1,12 @@
 """Writing intermediate tables, so that chains of joins do not recompute their inputs.
 
-Tables go below ``spark.checkpoint.dir`` (the shared folder the cluster names); a folder is made only
-where that setting is absent, as in tests. A written table survives lost executors."""
+Tables go below ``spark.checkpoint.dir``, the folder that driver and executors share. Without that setting a
+local session, where driver and executors are one process, gets a folder of its own; on a cluster it is an error,
+since each executor would write to its own disk. A written table survives lost executors. The session's folder
+goes when its process ends."""
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,15 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = "voxtable.stage.root"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the session share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="voxtable-")
+
+
 def root(spark: SparkSession) -> str:
     known = spark.conf.get(_ROOT, None)
     if known is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        known = f"{base.rstrip('/')}/voxtable-{uuid.uuid4().hex[:12]}"
+        known = f"{shared_folder(spark)}/voxtable-{uuid.uuid4().hex[:12]}"
         spark.conf.set(_ROOT, known)
+        atexit.register(_remove, spark, known)
     return known
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions rows for a Python operator. Python work per byte is high, so these partitions are
     kept at the configured count and not merged by size; a grouped operator on the keys reuses them."""
