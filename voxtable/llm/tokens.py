@@ -27,6 +27,8 @@ def _codes() -> np.ndarray:
 
 
 _CODE = _codes()
+#: Codes that tell all bytes apart.
+PLAIN = np.random.RandomState(21).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 _GAP = np.isin(np.arange(256, dtype=np.uint8), _GAPS)
 _POWER: dict[str, np.ndarray] = {}
 
@@ -51,6 +53,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(codes[data] * up[:len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """hash, start and end byte (within ``data``) of each word; words of row i are first[i]:first[i + 1]."""
@@ -94,24 +104,25 @@ def _words(data: np.ndarray, offsets: np.ndarray, rows: slice) -> Words:
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if len(inner):
         start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODE[part] * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(part, h, start, end, np.searchsorted(start, edges), rows)
+    return Words(part, range_hash(part, start, end, _CODE), start, end, np.searchsorted(start, edges), rows)
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    """The words of a string column, for a few rows at a time."""
-    data, offsets = buffers(column)
+def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[slice]:
+    """Consecutive rows of about so many bytes, at least one row each."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
-        j = min(j, n)
-        yield _words(data, offsets[i:j + 1], slice(i, j))
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1))
+        yield slice(i, j)
         i = j
 
 
+def words(column: pa.Array, size: int = PIECE) -> Iterator[Words]:
+    """The words of a string column, for a few rows at a time."""
+    data, offsets = buffers(column)
+    for rows in pieces(offsets, size):
+        yield _words(data, offsets[rows.start:rows.stop + 1], rows)
+
+
 def grams(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of so many words; the run that starts at word i is at i. Runs may span rows."""
     if len(h) < width:
