@@ -4,7 +4,8 @@ from __future__ import annotations
 from .backoff_automaton import op2_backoff_automaton
 from .bin_slack import op9_bin_slack
 from .cap_filters import op4_cap_filters
+from .disclosure import op7_disclosure
 from .minhash_forest import op5_minhash_forest
 
-QUERIES = {f.__name__: f for f in (op2_backoff_automaton, op4_cap_filters, op5_minhash_forest, op9_bin_slack)}
+QUERIES = {f.__name__: f for f in (op2_backoff_automaton, op4_cap_filters, op5_minhash_forest, op7_disclosure, op9_bin_slack)}
 ORACLES: dict[str, str] = {}
