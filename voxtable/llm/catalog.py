@@ -6,6 +6,9 @@ from .bin_slack import op9_bin_slack
 from .cap_filters import op4_cap_filters
 from .disclosure import op7_disclosure
 from .minhash_forest import op5_minhash_forest
+from .spaced_seeds import op8_spaced_seeds
+from .tag_ratio import op1_tag_ratio
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op2_backoff_automaton, op4_cap_filters, op5_minhash_forest, op7_disclosure, op9_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_tag_ratio, op2_backoff_automaton, op3_warc, op4_cap_filters, op5_minhash_forest, op7_disclosure, op8_spaced_seeds, op9_bin_slack)}
 ORACLES: dict[str, str] = {}
