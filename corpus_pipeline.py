@@ -1,4 +1,51 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages. Each reads the documents its predecessor kept."""
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from voxtable.functions.stage import stage
+from voxtable.llm import bin_slack, disclosure, language, minhash_forest, spaced_seeds
+from voxtable.llm.common import table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go."""
+    accepted = stage(language.of_documents(docs).where("accepted").select("doc_id").distinct(), "accepted")
+    return docs.join(accepted, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of least doc_id stays."""
+    kept = stage(minhash_forest.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    found = stage(spaced_seeds.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    return disclosure.sanitise(docs).selectExpr(*("cast(char_length(text) as bigint) n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return bin_slack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("PII", pii), ("best-fit packing", packing)]
+
+#: No stage but PII can be written in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each result being written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, function) in enumerate(STAGES):
+        docs = stage(function(spark, docs, sf_dir), f"stage-{k + 1}")
+    return docs

@@ -5,10 +5,12 @@ from .backoff_automaton import op2_backoff_automaton
 from .bin_slack import op9_bin_slack
 from .cap_filters import op4_cap_filters
 from .disclosure import op7_disclosure
+from .language import op6_language
+from .licences import op10_licences
 from .minhash_forest import op5_minhash_forest
 from .spaced_seeds import op8_spaced_seeds
 from .tag_ratio import op1_tag_ratio
 from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_tag_ratio, op2_backoff_automaton, op3_warc, op4_cap_filters, op5_minhash_forest, op7_disclosure, op8_spaced_seeds, op9_bin_slack)}
+QUERIES = {f.__name__: f for f in (op1_tag_ratio, op2_backoff_automaton, op3_warc, op4_cap_filters, op5_minhash_forest, op6_language, op7_disclosure, op8_spaced_seeds, op9_bin_slack, op10_licences)}
 ORACLES: dict[str, str] = {}

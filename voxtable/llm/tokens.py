@@ -91,11 +91,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, rows: slice) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, rows: slice, gaps: np.ndarray) -> Words:
     lo, n = int(offsets[0]), int(offsets[-1] - offsets[0])
     part, edges = data[lo:lo + n], offsets - lo
     solid = np.zeros(n + 2, dtype=np.int8)
-    solid[1:-1] = ~_GAP[part]
+    solid[1:-1] = ~gaps[part]
     step = np.diff(solid)
     # A row's edge parts words, too.
     inner = edges[1:-1]
@@ -116,11 +116,11 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[slice]:
         i = j
 
 
-def words(column: pa.Array, size: int = PIECE) -> Iterator[Words]:
-    """The words of a string column, for a few rows at a time."""
+def words(column: pa.Array, size: int = PIECE, gaps: np.ndarray = _GAP) -> Iterator[Words]:
+    """The words of a string column, for a few rows at a time. gaps: whether each byte parts words."""
     data, offsets = buffers(column)
     for rows in pieces(offsets, size):
-        yield _words(data, offsets[rows.start:rows.stop + 1], rows)
+        yield _words(data, offsets[rows.start:rows.stop + 1], rows, gaps)
 
 
 def grams(h: np.ndarray, width: int) -> np.ndarray:
