@@ -9,9 +9,10 @@
    are those that agree deepest, so the depth adapts to the region. Rows beside a partition's edge are compared in a
    second, small pass. Candidates stay if half of the 64 values agree (a pair of similarity 0.75 misses that with a
    chance of about 1e-5).
-3. Links are confirmed on the full sets: 100 * intersection >= 75 * union. First every document is compared with its
-   most similar earlier candidate, which ties most groups together; then every remaining candidate pair whose ends
-   are not yet in one component. A pair inside a component cannot change the result.
+3. Links are confirmed on the full sets: 100 * intersection >= 75 * union. The forest is searched twice. First each row
+   names the most similar of its neighbours in every tree, and every document is compared with the best of these below
+   it, which ties most groups together. The second search names all candidates whose ends are not yet in one
+   component; a pair inside a component cannot change the result, so a large group of copies costs a link per member.
 
 A pair of similarity 0.75 shares the first value in a tree with chance 0.75, so outside crowded regions it escapes all
 16 trees with a chance below 1e-9. In a region where k values are needed to come down to the window the chance is
@@ -81,80 +82,93 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each signature in every order: the first values as a sortable key, and a byte of every value to compare by."""
     for batch in batches:
-        ids = batch.column(0)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, VALUES)
         sketch = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
         for t in range(TREES):
             order = (np.arange(PREFIX) + t * (VALUES // TREES)) % VALUES
             keys = [x.tobytes() for x in sig[:, order].astype(">u4")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(keys, pa.binary()), ids, sketch], ["tree", "prefix", "doc_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(keys, pa.binary()), batch.column(0), batch.column(1), sketch],
+                                             ["tree", "prefix", "doc_id", "group", "sketch"])
 
 
 class _Run:
-    """Sorted rows of a tree: tree and first value as one number, doc_id, sketch."""
+    """Sorted rows of trees: tree and first value as one number, doc_id, group, sketch."""
 
-    def __init__(self, tree: np.ndarray, prefix: list[bytes], ids: np.ndarray, sketch: list[bytes]):
-        head = np.frombuffer(b"".join(p[:4] for p in prefix), ">u4").astype(np.int64) if prefix else np.zeros(0, np.int64)
-        self.head, self.ids = tree.astype(np.int64) * (1 << 32) + head, ids
+    def __init__(self, tree, prefix, ids, group, sketch):
+        head = np.frombuffer(b"".join(p[:4] for p in prefix), ">u4").astype(np.int64)
+        self.head, self.ids, self.group = np.asarray(tree, np.int64) * (1 << 32) + head, np.asarray(ids, np.int64), np.asarray(group, np.int64)
         self.sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, VALUES)
 
 
-def _near(run: _Run, skip: int = 0, until: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs of a later row (from skip on) with one of the rows up to WINDOW before it (before until)."""
+def _near(run: _Run, every: bool, skip: int = 0, until: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of a later row (from skip on) with rows of other groups up to WINDOW before it (before until):
+    every one, or the most similar one."""
     rows = np.arange(max(skip, 1), len(run.ids))
+    best = np.zeros((2, len(run.ids)), np.int64)
     out = []
     for s in range(1, WINDOW + 1):
         rows = rows[rows >= s]
         rows = rows[run.head[rows] == run.head[rows - s]]
         if not len(rows):
             break
-        take = rows if until is None else rows[rows - s < until]
+        take = rows[run.group[rows] != run.group[rows - s]]
+        take = take if until is None else take[take - s < until]
         same = (run.sketch[take] == run.sketch[take - s]).sum(axis=1)
         good = same >= AGREE
-        x, y = run.ids[take[good]], run.ids[take[good] - s]
-        out.append((np.minimum(x, y), np.maximum(x, y), same[good]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        take, same = take[good], same[good]
+        if every:
+            out.append((take, take - s, same))
+        else:
+            better = same > best[0, take]
+            best[:, take[better]] = same[better], take[better] - s
+    if not every:
+        take = np.flatnonzero(best[0])
+        out.append((take, best[1, take], best[0, take]))
+    later, earlier, same = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    x, y = run.ids[later], run.ids[earlier]
+    return np.minimum(x, y), np.maximum(x, y), same
 
 
 def _record(pairs: tuple, edge: int | None = None, end: int | None = None, rows: list | None = None) -> pa.RecordBatch:
-    """Pairs (part null) and rows beside a partition's edge (a, b null)."""
+    """Pairs (edge null) and rows beside a partition's edge (a, b null)."""
     a, b, same = pairs
     n, rows = len(a), rows or []
-    none = [None] * n
-    return pa.RecordBatch.from_arrays([
-        pa.array(list(a) + [None] * len(rows), pa.int64()), pa.array(list(b) + [None] * len(rows), pa.int64()), pa.array(list(same) + [None] * len(rows), pa.int32()),
-        pa.array(none + [edge] * len(rows), pa.int32()), pa.array(none + [end] * len(rows), pa.int32()), pa.array(none + list(range(len(rows))), pa.int32()),
-        pa.array(none + [r[0] for r in rows], pa.int32()), pa.array(none + [r[1] for r in rows], pa.binary()),
-        pa.array(none + [r[2] for r in rows], pa.int64()), pa.array(none + [r[3] for r in rows], pa.binary())],
-        ["a", "b", "same", "edge", "side", "ord", "tree", "prefix", "doc_id", "sketch"])
-
-
-_FOUND = "a bigint, b bigint, same int, edge int, side int, ord int, tree int, prefix binary, doc_id bigint, sketch binary"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    tail: list[tuple] = []
-    head: list[tuple] = []
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        head += rows[:max(0, WINDOW - len(head))]
-        joined = tail + rows
-        tree, prefix, ids, sketch = zip(*joined)
-        yield _record(_near(_Run(np.array(tree), list(prefix), np.array(ids), list(sketch)), skip=len(tail)))
-        tail = joined[-WINDOW:]
-    if head:
-        yield _record(((), (), ()), part - 1, 1, head)
-        yield _record(((), (), ()), part, 0, tail)
-
-
-def _seam(rows):
-    """Rows on both sides of one partition edge."""
-    rows = rows.sort_values(["side", "ord"])
-    before = int((rows["side"] == 0).sum())
-    run = _Run(rows["tree"].to_numpy(), list(rows["prefix"]), rows["doc_id"].to_numpy(), list(rows["sketch"]))
-    a, b, same = _near(run, skip=before, until=before)
-    return pd.DataFrame({"a": a, "b": b, "same": same})
+    none, k = [None] * n, len(rows)
+    tree, prefix, ids, group, sketch = zip(*rows) if rows else ((),) * 5
+    cols = [([*a, *[None] * k], pa.int64()), ([*b, *[None] * k], pa.int64()), ([*same, *[None] * k], pa.int32()), (none + [edge] * k, pa.int32()), (none + [end] * k, pa.int32()),
+            (none + list(range(k)), pa.int32()), (none + list(tree), pa.int32()), (none + list(prefix), pa.binary()), (none + list(ids), pa.int64()), (none + list(group), pa.int64()), (none + list(sketch), pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols], ["a", "b", "same", "edge", "side", "ord", "tree", "prefix", "doc_id", "group", "sketch"])
+
+
+_FOUND = "a bigint, b bigint, same int, edge int, side int, ord int, tree int, prefix binary, doc_id bigint, group bigint, sketch binary"
+
+
+def _scan(every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        tail: list[tuple] = []
+        head: list[tuple] = []
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            head += rows[:max(0, WINDOW - len(head))]
+            joined = tail + rows
+            if joined:
+                yield _record(_near(_Run(*zip(*joined)), every, skip=len(tail)))
+            tail = joined[-WINDOW:]
+        if head:
+            yield _record(((), (), ()), part - 1, 1, head)
+            yield _record(((), (), ()), part, 0, tail)
+    return run
+
+
+def _seam(every: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows on both sides of one partition edge."""
+        rows = rows.sort_values(["side", "ord"])
+        before = int((rows["side"] == 0).sum())
+        a, b, same = _near(_Run(*(rows[c].to_list() for c in ("tree", "prefix", "doc_id", "group", "sketch"))), every, skip=before, until=before)
+        return pd.DataFrame({"a": a, "b": b, "same": same})
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +186,15 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return plain.mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, signature binary")
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b, same) of the forest, a < b, same = agreeing values, from rows (doc_id, signature)."""
+def candidates(signed: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b, same) of the forest, a < b, same = agreeing values, from (written) rows (doc_id, group, signature):
+    pairs of different groups; all of them, or for each row and tree the most similar one."""
     # A partition holds many windows, so that a window reaches over one edge at most.
     parts = max(1, min(shuffle_partitions(signed.sparkSession), signed.count() * TREES // (50 * WINDOW)))
-    trees = (signed.select("doc_id", "signature").mapInArrow(_trees, "tree int, prefix binary, doc_id bigint, sketch binary")
+    trees = (signed.select("doc_id", "group", "signature").mapInArrow(_trees, "tree int, prefix binary, doc_id bigint, group bigint, sketch binary")
              .repartitionByRange(parts, "tree", "prefix", "doc_id").sortWithinPartitions("tree", "prefix", "doc_id"))
-    found = stage(trees.mapInArrow(_scan, _FOUND), "found")
-    edges = found.where("edge is not null").groupBy("edge").applyInPandas(_seam, "a bigint, b bigint, same int")
+    found = stage(trees.mapInArrow(_scan(every), _FOUND), "found")
+    edges = found.where("edge is not null").groupBy("edge").applyInPandas(_seam(every), "a bigint, b bigint, same int")
     return found.where("a is not null").select("a", "b", "same").unionAll(edges).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
@@ -202,15 +217,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = stage(signed.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "first")
     member = stage(signed.where("n_shingles > 0").select("k1", "k2", "n_shingles", "doc_id").join(first, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "member")
     reps = signed.where("signature is not null").select("doc_id", "signature").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = stage(candidates(reps), "candidates")
-    closest = stage(found.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b"), "closest")
+    reps = stage(reps.select("doc_id", F.col("doc_id").alias("group"), "signature"), "reps")
+    closest = stage(candidates(reps, False).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b"), "closest")
     links = stage(confirm(closest, plain), "links")
     comp = stage(components(links), "components")
-    left = (found.select("a", "b").join(closest, ["a", "b"], "left_anti")
-            .join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    left = stage(left, "left")
+    grouped = stage(reps.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "group").alias("group"), "signature"), "grouped")
+    left = stage(candidates(grouped, True).select("a", "b").join(closest, ["a", "b"], "left_anti"), "left")
     if not left.isEmpty():
         more = stage(confirm(left, plain), "more")
         if not more.isEmpty():
