@@ -1,6 +1,7 @@
 """Personal data in texts, and terms that give it away, with DataFrame and SQL functions only.
 
-Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. The method adds terms: words beside an
+Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers; numbers that a longer run of digits
+swallows are added. The method adds terms: words beside an
 identifier from which it could be guessed. A term t discloses an identifier e if it was seen near e in at least
 SUPPORT different contexts and if, of all documents of the corpus that hold t, at least a share of DISCLOSURE hold it near
 e; seeing t then narrows the identifier down by log2(P(e | t) / P(e)) bits, of which at least BITS are needed. Such
@@ -31,6 +32,9 @@ _IP = r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 #: 14 to 19 digits from the first digit of a chain to its last.
 _CARD = r"[0-9](?<![0-9]{2})(?<![0-9][ -][0-9])(?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+#: Cards in their usual groups and phone numbers of few groups, which the wider patterns swallow where more digits follow.
+_OWN_CARD = r"[0-9](?<![0-9]{2})(?:[0-9]{13,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9])"
+_OWN_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,3}(?![0-9])"
 _WORD = r"[^\p{L}\p{N}]+"
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -69,6 +73,13 @@ def base_spans(text: str) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
+def swallowed_spans(text: str, base: str) -> Column:
+    """Cards and phone numbers within longer runs of digits, apart from the base spans."""
+    t = f"coalesce({text}, '')"
+    kinds = [_found(t, 2, _OWN_CARD, _GOOD_CARD, "true"), _found(t, 3, _OWN_PHONE, _GOOD_PHONE, f"contains({t}, '+')")]
+    return F.filter(F.array_sort(F.concat(*kinds)), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def joined(spans: str) -> Column:
     """kind:start:end of sorted spans, joined by commas."""
     names = ", ".join(f"'{k}'" for k in KINDS)
@@ -98,11 +109,12 @@ def disclosing_terms(windows: DataFrame, docs: DataFrame, text: str = "text") ->
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, terms): arrays of (start, kind, end, value), sorted; a term's value is '' if it is to be removed."""
+    """(doc_id, base, added): arrays of (start, kind, end, value), sorted; a term's value is '' if it is to be removed.
+    Added are swallowed numbers and disclosing terms."""
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     around = F.expr(f"""transform(spans, s -> named_struct('entity', lower(s.value), 'at', greatest(s.start - {REACH}, 0) - if(s.start > {REACH}, 1, 0),
         'window', concat(if(s.start > {REACH}, 'x', ''), substring(text, greatest(s.start - {REACH}, 0) + 1, s.end - greatest(s.start - {REACH}, 0) + {REACH}), if(s.end + {REACH} < char_length(text), 'x', ''))))""")
-    base = stage(plain.withColumn("spans", base_spans("text")).withColumn("around", around).select("doc_id", "spans", "around"), "base")
+    base = stage(plain.withColumn("spans", base_spans("text")).withColumn("swallowed", swallowed_spans("text", "spans")).withColumn("around", around).select("doc_id", "spans", "swallowed", "around"), "base")
     windows = _windows(base.where("doc_id is not null"))
     giving = stage(disclosing_terms(windows, plain), "giving")
     words = windows.select("doc_id", "entity", "at", "window", F.explode(F.array_distinct(F.split(F.lower("window"), _WORD))).alias("term")).join(giving, ["entity", "term"])
@@ -110,14 +122,14 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = F.expr(_matches("window", pattern, 4, "at", f"if(share >= {CERTAIN}, '', x.b)"))
     spans = words.select("doc_id", F.explode(found).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("terms"))
     spans = stage(spans, "term-spans")
-    free = F.expr("array_sort(filter(coalesce(terms, array()), t -> not exists(spans, b -> b.start < t.end and t.start < b.end)))")
-    return base.select("doc_id", "spans").join(spans, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), free.alias("terms"))
+    free = F.expr("filter(coalesce(terms, array()), t -> not exists(concat(spans, swallowed), b -> b.start < t.end and t.start < b.end))")
+    return base.select("doc_id", "spans", "swallowed").join(spans, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("swallowed", free)).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The digest of (doc_id, base, terms): counts, base_sha256 and spans."""
+    """The digest of (doc_id, base, added): counts, base_sha256 and spans."""
     n = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    every = found.withColumn("all", F.array_sort(F.concat("base", "terms")))
+    every = found.withColumn("all", F.array_sort(F.concat("base", "added")))
     return every.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
 
 
@@ -133,9 +145,9 @@ def _replaced(text: str, spans: str) -> Column:
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with identifiers replaced by their kind in brackets and disclosing terms generalised or removed. Spans that
     touch are replaced as one, by the first one's kind. Texts without spans stay as they are."""
-    found = stage(find_spans(docs, doc_id, text).where("size(base) > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "terms")).alias("__spans")), "spans")
+    found = stage(find_spans(docs, doc_id, text).where("size(base) + size(added) > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "added")).alias("__spans")), "spans")
     plain = docs.withColumn("__id", F.col(doc_id).cast("bigint")).join(found, "__id", "left").withColumn(text, _replaced(f"`{text}`", "__spans"))
-    # What a dropped match had swallowed may match now.
+    # What a dropped match had kept from matching may match now.
     for _ in range(2):
         plain = plain.withColumn("__spans", F.when(F.col("__spans").isNotNull(), base_spans(f"`{text}`"))).withColumn(text, _replaced(f"`{text}`", "__spans"))
     return plain.select(*docs.columns)

@@ -12,8 +12,9 @@ The counts are grouped aggregations with partial sums; the host's prior is joine
 with a third of all rows is a skewed join that adaptive execution splits.
 
 A row is rejected if its text has no letters or "und" has a probability of CERTAIN; else it gets the likeliest language. Null or empty text: "und", rejected. Null declared
-language, address or host give no evidence. Repeated rows count each; null ids are kept. Other columns are not read. An
-empty table gives no rows."""
+language, address or host give no evidence. A language needs LEAST_ROWS labelled texts; where none has
+them, all texts with letters are accepted as "und". Repeated rows count each; null ids are kept. Other columns are not read.
+An empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from voxtable.functions.stage import stage
 from .common import table
 from .tokens import buffers, mix, pieces
 
-TRAIN_ROWS, LEAST_ROWS, MOST_LANGUAGES = 4000, 5, 64
+TRAIN_ROWS, LEAST_ROWS, MOST_LANGUAGES = 4000, 2, 64
 BINS, EVIDENCE, SMOOTH, PRIOR, CERTAIN = 1 << 15, 60.0, 0.05, 20.0, 0.9
 
 
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: st
         score = F.zip_with(score, w, lambda a, b: a + b)
     named = told.withColumn("score", score).withColumn("top", F.array_max("score"))
     shares = named.withColumn("p", F.expr("transform(score, x -> pow(2D, x - top) / aggregate(score, 0D, (s, y) -> s + pow(2D, y - top)))"))
-    shares = shares.withColumn("accepted", (F.col("letters") > 0) & (F.element_at("p", n) < CERTAIN)).withColumn("best_p", F.array_max(F.slice("p", 1, max(n - 1, 1))))
+    shares = shares.withColumn("accepted", (F.col("letters") > 0) & ((F.element_at("p", n) < CERTAIN) | F.lit(n == 1))).withColumn("best_p", F.array_max(F.slice("p", 1, max(n - 1, 1))))
     names = F.array(*map(F.lit, langs))
     at = F.array_position("p", F.col("best_p")).cast("int")
     return shares.select(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 from .tokens import Words, grams, words
 
-PIECE_WORDS, BINS, SAMPLE_TEXTS, SURE, CONFIRM, ORDINARY = 48, 1 << 15, 400, 0.6, 0.6, 4.0
+PIECE_WORDS, BINS, SAMPLE_TEXTS, SURE, CONFIRM, ORDINARY = 24, 1 << 15, 400, 0.6, 0.6, 4.0
 
 #: Short wording by which the families are usually named.
 TEMPLATES = {
@@ -66,8 +66,10 @@ def variants(r: np.random.RandomState, text: str, n: int, names: list[str]) -> l
     for _ in range(n):
         t = text.format(y=1990 + r.randint(40), n=names[r.randint(len(names))].title(), v=f"{r.randint(1, 6)}.{r.randint(3)}")
         w = [x for x in t.split() if r.rand() > 0.06] or [t]
-        if r.rand() < 0.4:
-            w = [names[r.randint(len(names))] for _ in range(r.randint(6))] + w + [names[r.randint(len(names))] for _ in range(r.randint(6))]
+        if r.rand() < 0.5:
+            more = [names[r.randint(len(names))] for _ in range(r.randint(PIECE_WORDS))]
+            k = r.randint(len(more) + 1)
+            w = more[:k] + w + more[k:]
         out.append(" ".join(w))
     return out
 
