@@ -8,32 +8,34 @@ from .seq import running
 SECOND = 1_000_000
 
 
-def _buckets(lo: str, hi: str, width: int) -> Column:
+def _buckets(lo: str, hi: str, width: int | str) -> Column:
     first, last = f"CAST(floor({lo} / {width}) AS BIGINT)", f"CAST(floor({hi} / {width}) AS BIGINT)"
     return F.expr(f"explode(sequence({first}, greatest({first}, {last})))")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, l_span, r_span, width: int = 10 * SECOND,
+def overlap_join(left: DataFrame, right: DataFrame, l_span, r_span, width: int | tuple[str, str] = 10 * SECOND,
                  keys=("clip_id",), closed=False, how: str = "inner", on: Column | None = None) -> DataFrame:
     """Pairs whose spans overlap (``closed`` also pairs spans that only touch).
 
     ``l_span``/``r_span`` are (low, high) column names, distinct between the sides. Each pair meets in
-    the first bucket both sides share. ``how`` may be inner, left_semi or left_anti."""
+    the first bucket both sides share. ``how`` may be inner, left_semi or left_anti. ``width`` may name a column of
+    each side instead, equal for rows that can meet."""
     ll, lh, rl, rh = *l_span, *r_span
+    lw, rw = width if isinstance(width, tuple) else (width, width)
     b = "__bucket"
-    first = F.expr(f"greatest(CAST(floor({ll} / {width}) AS BIGINT), CAST(floor({rl} / {width}) AS BIGINT))")
+    first = F.expr(f"greatest(CAST(floor({ll} / {lw}) AS BIGINT), CAST(floor({rl} / {rw}) AS BIGINT))")
     op = (F.col(ll) <= F.col(rh)) & (F.col(rl) <= F.col(lh)) if closed else \
         (F.col(ll) < F.col(rh)) & (F.col(rl) < F.col(lh))
     lk = [f"__l_{k}" for k in keys]
     if how == "inner":
-        a = left.select("*", _buckets(ll, lh, width).alias(b))
-        c = right.select("*", _buckets(rl, rh, width).alias(b))
+        a = left.select("*", _buckets(ll, lh, lw).alias(b))
+        c = right.select("*", _buckets(rl, rh, rw).alias(b))
         cond = op & (F.col(b) == first)
         if on is not None:
             cond = cond & on
         return a.join(c, [*keys, b]).filter(cond).drop(b)
     tagged = left.withColumn("__row", F.struct(*[F.col(c) for c in left.columns]))
-    pairs = overlap_join(tagged.select(*keys, ll, lh, "__row"), right, l_span, r_span, width, keys, closed, on=on)
+    pairs = overlap_join(tagged.select(*dict.fromkeys([*keys, ll, lh, *([lw] if isinstance(lw, str) else [])]), "__row"), right, l_span, r_span, width, keys, closed, on=on)
     hits = pairs.select("__row").distinct()
     return tagged.join(hits, "__row", how).drop("__row", *lk)
 
@@ -70,10 +72,10 @@ def merged(spans: DataFrame, lo: str, hi: str, keys=("clip_id",), width: int = 6
 
 
 def outside(spans: DataFrame, extent: DataFrame, lo: str, hi: str, total: str, keys=("clip_id",),
-            width: int = 60 * SECOND) -> DataFrame:
+            width: int | str = 60 * SECOND) -> DataFrame:
     """The parts of [0, total) that no span covers, as (low, high). ``extent`` has one row per clip.
 
-    Works on overlapping spans: the covered end is a running maximum."""
+    Works on overlapping spans: the covered end is a running maximum. ``width`` may be a column of the spans."""
     r = running(spans, lo, {"__end": ("max", hi)}, keys, width, order=[lo, hi])
     r = running(r, lo, {"__next": ("last", lo)}, keys, width, exclusive=True, reverse=True, order=[lo, hi])
     after = (r.join(extent.select(*keys, total), list(keys))

@@ -16,29 +16,33 @@ def card_schema(spark: SparkSession) -> DataFrame:
 def validate_cards(cards: DataFrame, fields: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fields, invalid): every field checked and clamped; a card with one bad field is invalid as a whole.
 
-    cards (clip_id, unit, template); fields (clip_id, unit, field, kind, value, items) where kind is the JSON
-    type found (string, number, array, icons) and items the texts of an array."""
+    cards (clip_id, unit, template); fields (clip_id, unit, field, kind, value, items, icons) as read_copy gives them:
+    the JSON type decides. Where a number is wanted, numeric strings and booleans are taken as numbers. Valid fields
+    carry the icons' labels as items and their emoji beside them."""
     want = cards.join(F.broadcast(schema), "template")     # the schema is a fixed table of a few dozen rows
     j = want.join(fresh(fields.withColumnRenamed("kind", "found")), ["clip_id", "unit", "field"], "left")
     absent = F.col("found").isNull()
-    number = F.expr("try_cast(value AS DOUBLE)")
-    n_items = F.coalesce(F.size("items"), F.lit(0))
+    blank = (F.col("found") == "string") & (F.trim("value") == "")
+    number = F.when(F.col("found") == "boolean", F.when(F.col("value") == "true", "1").otherwise("0")).when(blank, "0") \
+        .when(F.col("found").isin("number", "string") & F.expr("try_cast(value AS DOUBLE) IS NOT NULL"), F.trim("value"))
+    array = F.col("found") == "array"
     least = F.coalesce("min_len", F.lit(0))
     ok = (F.when(absent, ~F.col("required"))
            .when(F.col("kind") == "string", F.col("found") == "string")
            .when(F.col("kind") == "number", number.isNotNull())
            .when(F.col("kind") == "enum", (F.col("found") == "string") & F.array_contains("enum_values", F.col("value")))
-           .when(F.col("kind") == "stringArray", (F.col("found") == "array") & (n_items >= least))
-           .otherwise((F.col("found") == "icons") & (n_items >= least)))
-    words = F.when(F.col("kind") == "stringArray", 6).otherwise(4)
-    cut = F.when(F.col("max_len").isNotNull(), F.slice("items", 1, F.col("max_len"))).otherwise(F.col("items"))
-    items = F.when(F.col("kind") == "stringArray", F.transform(cut, lambda x: text.clamp_words(x, 6))).otherwise(F.transform(cut, lambda x: text.clamp_words(x, 4)))
+           .when(F.col("kind") == "stringArray", array & (F.size("items") >= least))
+           .otherwise(array & (F.size("icons") >= least)))
+    cut = lambda c: F.when(F.col("max_len").isNotNull(), F.slice(c, 1, F.col("max_len"))).otherwise(F.col(c))
+    items = F.when(F.col("kind") == "stringArray", F.transform(cut("items"), lambda x: text.clamp_words(x, 6))) \
+        .when(F.col("kind") == "iconArray", F.transform(cut("icons"), lambda x: text.clamp_words(x["label"], 4)))
+    emoji = F.when(F.col("kind") == "iconArray", F.transform(cut("icons"), lambda x: x["emoji"]))
     value = F.when(F.col("kind") == "string", text.clamp_words(F.col("value"), F.coalesce("max_words", F.lit(5)))) \
-        .when(F.col("kind").isin("number", "enum"), F.col("value"))
+        .when(F.col("kind") == "number", number).when(F.col("kind") == "enum", F.col("value"))
     j = j.withColumn("ok", F.coalesce(ok, F.lit(False)))
     verdict = j.groupBy("clip_id", "unit").agg(F.bool_and("ok").alias("valid"))
     good = j.filter(~absent).join(fresh(verdict.filter("valid").drop("valid")), ["clip_id", "unit"], "left_semi").select(
-        "clip_id", "unit", "template", "field", value.alias("value"), F.when(F.col("kind").isin("stringArray", "iconArray"), items).alias("items"))
+        "clip_id", "unit", "template", "field", value.alias("value"), items.alias("items"), emoji.alias("emoji"))
     return good, verdict.filter("NOT valid").select("clip_id", "unit")
 
 

@@ -245,16 +245,19 @@ def candidate_context(cands: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def score_batches(asked: DataFrame, fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Runs a user scorer once per request (at most 64 rows). A failing request yields NULL scores."""
+    """Runs a user scorer once per request (at most 64 rows). A failing request yields NULL scores and
+    the error's type and message."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["clip_id", "start_i", "end_i", "link"]].copy()
         try:
             out["score"] = fn(pdf).astype("float64").to_numpy()
-        except Exception:
+            out["error"] = None
+        except Exception as e:
             out["score"] = pd.Series([None] * len(out), dtype="float64").to_numpy()
+            out["error"] = f"{type(e).__name__}: {e}"
         return out
     return asked.groupBy("clip_id", "batch_id").applyInPandas(
-        one, "clip_id bigint, start_i bigint, end_i bigint, link int, score double")
+        one, "clip_id bigint, start_i bigint, end_i bigint, link int, score double, error string")
 
 
 def accept_retakes(chained: DataFrame, scores: DataFrame) -> DataFrame:

@@ -170,35 +170,32 @@ def cards(c):
 
 
 def raw_fields(c):
-    """Copy written from the unit's own words, some of it unusable."""
+    """Copy as a model writes it, from the unit's own words, read back with its JSON types. Some of it is unusable; arrays
+    hold elements of other types, numbers come as strings, and a text may be a boolean."""
     t = S.unit_words(c.units, c.words).groupBy("clip_id", "unit").agg(S.joined("text").alias("t")).withColumn("a", F.split("t", " "))
-    f = lambda cond, field, kind, value=None, items=None: F.when(F.expr(cond), F.struct(
-        F.lit(field).alias("field"), F.lit(kind).alias("kind"), (value if value is not None else F.lit(None).cast("string")).alias("value"),
-        (items if items is not None else F.lit(None).cast("array<string>")).alias("items")))
-    fields = F.array_compact(F.array(
-        f("unit % 4 = 0 AND unit % 12 <> 4", "text", "string", F.col("t")),
-        f("unit % 4 = 1", "options", "array", None, F.expr("slice(a, 1, CAST(1 + unit % 7 AS INT))")),
-        f("unit % 4 = 1", "pickedIndex", "number", F.lit("1")),
-        f("unit % 4 = 2", "question", "string", F.col("t")),
-        f("unit % 4 = 2", "answer", "string", F.expr("CASE WHEN unit % 3 = 0 THEN 'maybe' ELSE 'yes' END")),
-        f("unit % 4 = 2", "pct", "number", F.expr("CAST(unit AS STRING)")),
-        f("unit % 4 = 3", "items", "icons", None, F.expr("slice(a, 1, CAST(1 + unit % 6 AS INT))"))))
-    return t.select("clip_id", "unit", F.explode(fields).alias("f")).select("clip_id", "unit", "f.*")
+    inner = lambda e: f"substring(to_json({e}), 2, length(to_json({e})) - 2)"
+    body = F.expr(f"""CASE unit % 4
+        WHEN 0 THEN if(unit % 12 = 4, '{{}}', concat('{{"text":', {inner("array(t)")}, if(unit % 24 = 8, ',"sub":true', ''), '}}'))
+        WHEN 1 THEN concat('{{"options":[', {inner("slice(a, 1, CAST(1 + unit % 7 AS INT))")}, ',5,true,null],"pickedIndex":1}}')
+        WHEN 2 THEN concat('{{"question":', {inner("array(t)")}, ',"answer":', if(unit % 3 = 0, '"maybe"', '"yes"'), ',"pct":', if(unit % 8 = 2, concat('"', unit, '"'), string(unit)), '}}')
+        ELSE concat('{{"items":[', array_join(transform(slice(a, 1, CAST(1 + unit % 6 AS INT)), x -> to_json(named_struct('emoji', concat('e:', x), 'label', x))), ','), ',"loose",{{"label":"no emoji"}}]}}') END""")
+    texts = t.select("clip_id", F.concat(F.lit('{"beats":{"b'), F.col("unit").cast("string"), F.lit('":'), body, F.lit("}}")).alias("text"))
+    return AN.read_copy(texts)[0]
 
 
 table("cardtext", "SELECT clip_id, unit, text, string_split(text, ' ') AS a FROM utext")
-table("cardbad", """SELECT clip_id, unit FROM cardtext WHERE (unit % 4 = 0 AND unit % 12 = 4) OR (unit % 4 = 1 AND len(a[1:1 + unit % 7]) < 2) OR (unit % 4 = 2 AND unit % 3 = 0) OR (unit % 4 = 3 AND len(a[1:1 + unit % 6]) < 2)""")
+table("cardbad", """SELECT clip_id, unit FROM cardtext WHERE (unit % 4 = 0 AND (unit % 12 = 4 OR unit % 24 = 8)) OR (unit % 4 = 1 AND len(a[1:1 + unit % 7]) < 2) OR (unit % 4 = 2 AND unit % 3 = 0) OR (unit % 4 = 3 AND len(a[1:1 + unit % 6]) < 2)""")
 card_parts = _lazy("card_parts", lambda c: CA.validate_cards(cards(c), raw_fields(c), CA.card_schema(c.spark))[0])
 card_bad = _lazy("card_bad", lambda c: CA.validate_cards(cards(c), raw_fields(c), CA.card_schema(c.spark))[1])
 
 
-@query("valid_card_fields", f"""SELECT x.clip_id, x.unit, {CARD_T.replace('unit', 'x.unit')} AS template, field, value, items FROM (
+@query("valid_card_fields", f"""SELECT x.clip_id, x.unit, {CARD_T.replace('unit', 'x.unit')} AS template, field, value, items, CASE WHEN field = 'items' THEN array_to_string(list_transform(string_split(items, '|'), lambda y: 'e:' || y), '|') END AS emoji FROM (
  SELECT clip_id, unit, 'text' AS field, array_to_string(a[1:5], ' ') AS value, NULL AS items FROM cardtext WHERE unit % 4 = 0
  UNION ALL SELECT clip_id, unit, 'options', NULL, array_to_string(a[1:least(5, 1 + unit % 7)], '|') FROM cardtext WHERE unit % 4 = 1 UNION ALL SELECT clip_id, unit, 'pickedIndex', '1', NULL FROM cardtext WHERE unit % 4 = 1
  UNION ALL SELECT clip_id, unit, 'question', array_to_string(a[1:5], ' '), NULL FROM cardtext WHERE unit % 4 = 2 UNION ALL SELECT clip_id, unit, 'answer', 'yes', NULL FROM cardtext WHERE unit % 4 = 2 UNION ALL SELECT clip_id, unit, 'pct', CAST(unit AS VARCHAR), NULL FROM cardtext WHERE unit % 4 = 2
  UNION ALL SELECT clip_id, unit, 'items', NULL, array_to_string(a[1:least(4, 1 + unit % 6)], '|') FROM cardtext WHERE unit % 4 = 3) x WHERE (x.clip_id, x.unit) NOT IN (SELECT (clip_id, unit) FROM cardbad)""")
 def valid_card_fields(c):
-    return card_parts(c).withColumn("items", F.array_join("items", "|"))
+    return card_parts(c).withColumn("items", F.array_join("items", "|")).withColumn("emoji", F.array_join("emoji", "|"))
 
 
 @query("invalid_cards", "SELECT * FROM cardbad")
@@ -281,13 +278,13 @@ def turn_docs(c):
     tok = lambda txt, s, e: F.struct(txt.alias("text"), s.cast("double").alias("start"), e.cast("double").alias("end"))
     per = lambda x: F.filter(F.array(
         tok(F.concat(F.lit(" "), F.substring(x["body"], 1, 2)), x["k"] * 4 / 8, (x["k"] * 4 + 1) / 8),
-        tok(F.substring(x["body"], 3, 1000000), (x["k"] * 4 + 1) / 8, (x["k"] * 4 + 2) / 8),
+        tok(F.substring(x["body"], F.lit(3), F.length(x["body"])), (x["k"] * 4 + 1) / 8, (x["k"] * 4 + 2) / 8),
         tok(x["tail"], (x["k"] * 4 + 2) / 8, (x["k"] * 4 + 4) / 8)), lambda y: F.trim(y["text"]) != "")
     toks = lambda arr: F.flatten(F.transform(arr, per))
     half = F.expr("CAST(size(a) DIV 2 AS INT)")
     t = t.withColumn("w", w)
     sent = lambda arr: F.struct(F.lit("").alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), toks(arr).alias("tokens"))
-    return t.select("clip_id", F.to_json(F.struct(F.lit("").alias("text"), F.array(sent(F.slice("w", F.lit(1), half)), sent(F.slice("w", half + 1, F.lit(1000000)))).alias("sentences"))).alias("text"))
+    return t.select("clip_id", F.to_json(F.struct(F.lit("").alias("text"), F.array(sent(F.slice("w", F.lit(1), half)), sent(F.slice("w", half + 1, F.size("w")))).alias("sentences"))).alias("text"))
 
 
 def asr_sql(precise):
@@ -465,7 +462,7 @@ def copy_texts(c):
 
 @query("copy_fields", "SELECT clip_id * 10000 + unit AS clip_id, unit, f.field AS field, f.kind AS kind, CASE f.field WHEN 'text' THEN 'five words' WHEN 'pct' THEN CAST(unit % 90 AS VARCHAR) END AS value, CASE f.field WHEN 'items' THEN 'a|b c' END AS items FROM units CROSS JOIN (VALUES ('text', 'string'), ('pct', 'number'), ('items', 'array')) f(field, kind)")
 def copy_fields(c):
-    return AN.read_copy(copy_texts(c))[0].withColumn("items", F.array_join("items", "|"))
+    return AN.read_copy(copy_texts(c))[0].withColumn("items", F.array_join("items", "|")).drop("icons")
 
 
 @query("copy_corrections", "SELECT clip_id * 10000 + unit AS clip_id, 0 AS c_ord, CAST(first_i AS BIGINT) AS i, 'Fixed' AS text FROM units")

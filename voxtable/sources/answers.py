@@ -76,24 +76,42 @@ def read_proposals(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p, d.filter("problem IS NOT NULL").select("clip_id", "problem")
 
 
+def _json_type(v: Column) -> Column:
+    """string, number, boolean, array or object; NULL for a JSON null."""
+    t = F.schema_of_variant(v)
+    return F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object") \
+        .when(t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "number")
+
+
+def _copy(texts: DataFrame, shape: str) -> DataFrame:
+    return texts.withColumn("j", F.from_json(json_body("text"), shape))
+
+
 def read_copy(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, corrections) of card copy: fields (clip_id, unit, field, kind, value, items), corrections with
-    a numeric index and a text only."""
-    d = texts.withColumn("j", F.from_json(json_body("text"), "struct<beats:map<string,map<string,string>>,corrections:array<string>>"))
+    """(fields, corrections) of card copy. fields (clip_id, unit, field, kind, value, items, icons): kind is the JSON
+    type, value the text of a scalar, items the strings of an array, icons its objects that have an emoji and a
+    label. corrections have a whole number as index and a text; others change no word."""
+    d = _copy(texts, "struct<beats:map<string,map<string,variant>>,corrections:array<variant>>")
     f = d.select("clip_id", F.explode("j.beats").alias("b", "fields")).select(
-        "clip_id", F.regexp_extract("b", r"^b(\d+)$", 1).try_cast("bigint").alias("unit"), F.explode("fields").alias("field", "raw"))
-    f = f.filter("raw IS NOT NULL")
-    arr = F.from_json("raw", "array<string>")
-    is_array = F.col("raw").startswith("[")
-    icons = F.from_json("raw", "array<struct<emoji:string,label:string>>")
-    has_icons = is_array & F.exists(icons, lambda x: x["emoji"].isNotNull() & x["label"].isNotNull())
-    number = F.col("raw").try_cast("double").isNotNull()
-    kind = F.when(has_icons, "icons").when(is_array, "array").when(number, "number").otherwise("string")
-    f = f.select("clip_id", "unit", "field", kind.alias("kind"), F.when(~is_array, F.col("raw")).alias("value"),
-                 F.when(has_icons, F.transform(F.filter(icons, lambda x: x["emoji"].isNotNull() & x["label"].isNotNull()), lambda x: x["label"])).when(is_array, arr).alias("items"))
-    c = d.select("clip_id", F.posexplode("j.corrections").alias("c_ord", "raw"))
-    c = c.withColumn("v", F.try_parse_json("raw"))
-    typed = F.expr("schema_of_variant(try_variant_get(v, '$.i', 'variant'))").isin("BIGINT", "DOUBLE", "DECIMAL(1,0)", "DECIMAL(2,0)") & \
-        (F.expr("schema_of_variant(try_variant_get(v, '$.text', 'variant'))") == "STRING")
-    c = c.filter(typed).select("clip_id", "c_ord", F.expr("try_variant_get(v, '$.i', 'bigint')").alias("i"), F.expr("try_variant_get(v, '$.text', 'string')").alias("text"))
+        "clip_id", F.regexp_extract("b", r"^b(\d+)$", 1).try_cast("bigint").alias("unit"), F.explode("fields").alias("field", "v"))
+    f = f.withColumn("kind", _json_type(F.col("v"))).filter("kind IS NOT NULL")
+    elements = F.when(F.col("kind") == "array", F.expr("try_variant_get(v, '$', 'array<variant>')"))
+    strings = F.transform(F.filter(elements, lambda x: _json_type(x) == "string"), lambda x: F.try_variant_get(x, "$", "string"))
+    part = lambda x, k: F.try_variant_get(x, f"$.{k}", "string")
+    icons = F.transform(F.filter(elements, lambda x: (_json_type(x) == "object") & part(x, "emoji").isNotNull() & part(x, "label").isNotNull()),
+                        lambda x: F.struct(part(x, "emoji").alias("emoji"), part(x, "label").alias("label")))
+    f = f.select("clip_id", "unit", "field", "kind", F.when(F.col("kind").isin("string", "number", "boolean"), F.expr("try_variant_get(v, '$', 'string')")).alias("value"),
+                 strings.alias("items"), icons.alias("icons"))
+    c = d.select("clip_id", F.posexplode("j.corrections").alias("c_ord", "v"))
+    index = F.expr("try_variant_get(v, '$.i', 'double')")
+    typed = (_json_type(F.expr("try_variant_get(v, '$.i', 'variant')")) == "number") & (index == F.floor(index)) & \
+        (_json_type(F.expr("try_variant_get(v, '$.text', 'variant')")) == "string")
+    c = c.filter(typed).select("clip_id", "c_ord", index.cast("bigint").alias("i"), F.expr("try_variant_get(v, '$.text', 'string')").alias("text"))
     return f, c
+
+
+def read_title(texts: DataFrame) -> DataFrame:
+    """(clip_id, word, line) of the title block of card copy; NULL where it is absent or not a string."""
+    d = _copy(texts, "struct<hook:struct<word:variant,line:variant>>")
+    own = lambda k: F.when(_json_type(F.col(f"j.hook.{k}")) == "string", F.try_variant_get(F.col(f"j.hook.{k}"), "$", "string")).alias(k)
+    return d.filter("j.hook IS NOT NULL").select("clip_id", own("word"), own("line"))
