@@ -197,12 +197,12 @@ def protectable_spans(c):
     return G.protectable(spans(c), cut_words(c))
 
 
-table("prop_ranges", "SELECT p.clip_id, p_ord, from_i, to_i, reason FROM proposals p JOIN (SELECT clip_id, max(i) AS m FROM words GROUP BY clip_id) USING (clip_id) WHERE to_i <= m AND p_ord % 3 = 1")
+table("prop_ranges", "SELECT p.clip_id, p_ord, from_i, to_i, reason FROM proposals p JOIN (SELECT clip_id, max(i) AS m FROM words GROUP BY clip_id) USING (clip_id) WHERE to_i <= m")
 
 
 def drops(c):
     n = c.words.groupBy("clip_id").agg(F.max("i").alias("m"))
-    p = c.proposals.join(n, "clip_id").filter("to_i <= m AND p_ord % 3 = 1")
+    p = c.proposals.join(n, "clip_id").filter("to_i <= m")
     d = p.select("clip_id", F.explode(F.expr("sequence(from_i, to_i)")).alias("i"), "reason", "p_ord")
     return d.groupBy("clip_id", "i").agg(F.min_by("reason", "p_ord").alias("reason"))
 

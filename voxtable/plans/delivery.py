@@ -273,7 +273,7 @@ def proposal_validity(c):
 # ---- documents -------------------------------------------------------------------------------------
 def turn_docs(c):
     """Recogniser documents, one per turn: two sentences of tokens, words split in two, punctuation on its own."""
-    t = c.raw("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("clip_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("a"))
+    t = c.raw("conversations").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("clip_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("a"))
     w = F.transform("a", lambda x, k: F.struct(F.regexp_extract(x, r"^(.*?)([.,!?]*)$", 1).alias("body"), F.regexp_extract(x, r"^(.*?)([.,!?]*)$", 2).alias("tail"), k.alias("k")))
     tok = lambda txt, s, e: F.struct(txt.alias("text"), s.cast("double").alias("start"), e.cast("double").alias("end"))
     per = lambda x: F.filter(F.array(
@@ -291,7 +291,7 @@ def asr_sql(precise):
     return f"""SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY k) - 1 AS BIGINT) AS i, text, CAST(k * 500000 AS BIGINT) AS start_us,
   CAST(k * 500000 + CASE WHEN length(tail) > 0 AND {'length(body) = 0' if precise else 'true'} THEN 500000 WHEN length(body) > 2 THEN 250000 ELSE 125000 END AS BIGINT) AS end_us FROM (
   SELECT clip_id, x AS text, k - 1 AS k, regexp_extract(x, '^(.*?)([.,!?]*)$', 1) AS body, regexp_extract(x, '^(.*?)([.,!?]*)$', 2) AS tail FROM (
-    SELECT conv_id * 100 + turn AS clip_id, unnest(a) AS x, unnest(generate_series(1, len(a))) AS k FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations)))"""
+    SELECT conv_id * 4294967296 + turn AS clip_id, unnest(a) AS x, unnest(generate_series(1, len(a))) AS k FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations)))"""
 
 
 @query("asr_words", asr_sql(False))
@@ -304,9 +304,9 @@ def asr_words_precise(c):
     return SP.asr_words(turn_docs(c), precise_ends=True)
 
 
-@query("word_list_json", "SELECT conv_id * 100 + turn AS clip_id, CAST(unnest(generate_series(0, len(a) - 1)) AS BIGINT) AS i, unnest(a) AS text, CAST(unnest(generate_series(0, len(a) - 1)) * 250000 AS BIGINT) AS start_us, CAST(unnest(generate_series(0, len(a) - 1)) * 250000 + 125000 AS BIGINT) AS end_us FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations)")
+@query("word_list_json", "SELECT conv_id * 4294967296 + turn AS clip_id, CAST(unnest(generate_series(0, len(a) - 1)) AS BIGINT) AS i, unnest(a) AS text, CAST(unnest(generate_series(0, len(a) - 1)) * 250000 AS BIGINT) AS start_us, CAST(unnest(generate_series(0, len(a) - 1)) * 250000 + 125000 AS BIGINT) AS end_us FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS a FROM conversations)")
 def word_list_json(c):
-    t = c.raw("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("clip_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("a"))
+    t = c.raw("conversations").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("clip_id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("a"))
     docs = t.select("clip_id", F.to_json(F.transform("a", lambda x, k: F.struct(k.alias("i"), x.alias("text"), (k / 4).alias("start"), ((k * 2 + 1) / 8).alias("end")))).alias("text"))
     return FI.word_list(docs)
 
@@ -391,35 +391,42 @@ def face_docs(c):
     s = s.withColumn("r", F.struct(F.format_string("f%06d.jpg", "sec").alias("file"), F.transform(F.coalesce("fs", F.expr("slice(fs, 1, 0)"), F.array().cast("array<struct<face_ord:int,x:double,y:double,w:double,h:double>>")),
                                                                                                   lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))).alias("faces")))
     g = s.groupBy("clip_id", F.expr("sec DIV 60").alias("m")).agg(F.array_sort(F.collect_list(F.struct("sec", "r"))).alias("rs"))
-    return g.select((F.col("clip_id") * 1000 + F.col("m")).alias("clip_id"), F.to_json(F.transform("rs", lambda x: x["r"])).alias("text"))
+    return g.select((F.col("clip_id") * 4294967296 + F.col("m")).alias("clip_id"), F.to_json(F.transform("rs", lambda x: x["r"])).alias("text"))
 
 
-@query("face_json", "SELECT f.clip_id * 1000 + f.sec // 60 AS clip_id, CAST(f.sec % 60 AS INT) AS sec, a.face_ord, a.x, a.y, a.w, a.h FROM fc f LEFT JOIN faces a ON a.clip_id = f.clip_id AND a.sec = f.sec")
+@query("face_json", "SELECT f.clip_id * 4294967296 + f.sec // 60 AS clip_id, CAST(f.sec % 60 AS INT) AS sec, a.face_ord, a.x, a.y, a.w, a.h FROM fc f LEFT JOIN faces a ON a.clip_id = f.clip_id AND a.sec = f.sec")
 def face_json(c):
     return AN.read_faces(face_docs(c))
 
 
 def answer_docs(c):
-    """Decision responses per unit: one choice, one score and one probability; some answer types are wrong, some usages null."""
-    d = c.answers.filter("question = 'overlay'").groupBy("clip_id", "unit").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "prob")))).alias("p"), F.max_by("label", F.struct("prob", -F.col("label_ord"))).alias("best"), F.max("prob").alias("conf"))
-    n = lambda t: F.lit(None).cast(t)
-    ans = lambda type_, noul=None, choice=None, score=None, conf=None, p=None: F.struct(type_.alias("type"), (noul if noul is not None else n("double")).alias("noul"), (choice if choice is not None else n("string")).alias("choice"),
-        (score if score is not None else n("double")).alias("score"), (conf if conf is not None else n("double")).alias("confidence"), (p if p is not None else n("map<string,double>")).alias("probabilities"))
-    j = F.struct(F.create_map(F.lit("overlay"), ans(F.lit("choice"), choice=F.col("best"), conf=F.col("conf"), p=F.col("p")), F.lit("energy"), ans(F.when(F.col("unit") % 10 == 3, "noul").otherwise("score"), score=(F.col("unit") % 3).cast("double")),
-                              F.lit("progress_bar"), ans(F.lit("noul"), noul=(F.col("unit") % 8) / 8)).alias("answers"),
-                 F.when(F.col("unit") % 4 != 1, F.struct((F.col("unit") * 3).alias("input_tokens"), F.col("unit").alias("output_tokens"))).alias("usage"))
-    return d.select("clip_id", "unit", F.col("unit").alias("req_id"), (F.col("unit") % 50).cast("double").alias("latency_ms"), F.to_json(j).alias("text"))
-
-
-EXPECTED = {"overlay": "choice", "energy": "score", "progress_bar": "noul"}
-
-
-@query("answer_json", "SELECT clip_id, unit, question, label, label_ord, round(prob, 9) AS prob FROM answers WHERE question = 'overlay'")
+    """Decision responses per unit: a choice for every menu, one score and one probability; some answer types are wrong,
+    some usages null."""
+    per = c.answers.groupBy("clip_id", "unit", "question").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "prob")))).alias("p"), F.max_by("label", F.struct("prob", -F.col("label_ord"))).alias("best"), F.max("prob").alias("conf"))
+    parts = (("type", "string"), ("noul", "double"), ("choice", "string"), ("score", "double"), ("confidence", "double"), ("probabilities", "map<string,double>"))
+    answer = lambda **known: F.struct(*[(known[n] if n in known else F.lit(None)).cast(t).alias(n) for n, t in parts])
+    choice = answer(type=F.lit("choice"), choice=F.col("best"), confidence=F.col("conf"), probabilities=F.col("p"))
+    d = per.groupBy("clip_id", "unit").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("question").alias("q"), F.to_json(choice).alias("a"))))).alias("choices"))
+    own = lambda a: F.to_json(a)
+    more = F.create_map(F.lit("energy"), own(answer(type=F.when(F.col("unit") % 10 == 3, "noul").otherwise("score"), score=F.col("unit") % 3)),
+                        F.lit("progress_bar"), own(answer(type=F.lit("noul"), noul=(F.col("unit") % 8) / 8)))
+    every = F.map_entries(F.map_concat("choices", more))
+    answers = F.array_join(F.transform(every, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    usage = F.when(F.col("unit") % 4 != 1, F.concat(F.lit(',"usage":'), F.to_json(F.struct((F.col("unit") * 3).alias("input_tokens"), F.col("unit").alias("output_tokens"))))).otherwise("")
+    return d.select("clip_id", "unit", F.col("unit").alias("req_id"), (F.col("unit") % 50).cast("double").alias("latency_ms"),
+                    F.concat(F.lit('{"answers":{'), answers, F.lit("}"), usage, F.lit("}")).alias("text"))
+
+
+EXPECTED = {**{q: "choice" for q in fixed.MENUS}, "energy": "score", "progress_bar": "noul"}
+
+
+@query("answer_json", "SELECT clip_id, unit, question, label, label_ord, round(prob, 9) AS prob FROM answers")
 def answer_json(c):
     return AN.read_answers(answer_docs(c), c.menu, EXPECTED)[0].withColumn("prob", F.round("prob", 9))
 
 
-@query("answer_heads", "SELECT clip_id, unit, 'overlay' AS question, label AS choice, round(conf, 9) AS confidence, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS noul FROM top WHERE question = 'overlay' UNION ALL SELECT clip_id, unit, 'energy', NULL, NULL, CAST(unit % 3 AS DOUBLE), NULL FROM units WHERE unit % 10 <> 3 UNION ALL SELECT clip_id, unit, 'progress_bar', NULL, NULL, NULL, (unit % 8) / 8 FROM units")
+@query("answer_heads", "SELECT clip_id, unit, question, label AS choice, round(conf, 9) AS confidence, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS noul FROM top UNION ALL SELECT clip_id, unit, 'energy', NULL, NULL, CAST(unit % 3 AS DOUBLE), NULL FROM units WHERE unit % 10 <> 3 UNION ALL SELECT clip_id, unit, 'progress_bar', NULL, NULL, NULL, (unit % 8) / 8 FROM units")
 def answer_heads(c):
     return AN.read_answers(answer_docs(c), c.menu, EXPECTED)[1].withColumn("confidence", F.round("confidence", 9))
 
@@ -440,32 +447,32 @@ def proposal_texts(c):
     t = F.expr("(clip_id + p_ord) % 5")
     txt = F.when(t == 0, body).when(t == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(t == 2, F.concat(F.lit("<think>{maybe}\n</think>\n"), body)) \
         .when(t == 3, F.concat(F.lit("Here it is: "), body, F.lit(" - done"))).otherwise(F.concat(F.lit("no "), F.substring(body, 1, 12)))
-    return c.proposals.select((F.col("clip_id") * 10000 + F.col("p_ord")).alias("clip_id"), txt.alias("text"))
+    return c.proposals.select((F.col("clip_id") * 4294967296 + F.col("p_ord")).alias("clip_id"), txt.alias("text"))
 
 
-@query("proposal_texts", "SELECT clip_id * 10000 + p_ord AS clip_id, CAST(0 AS BIGINT) AS p_ord, from_i, to_i, reason FROM proposals WHERE (clip_id + p_ord) % 5 <> 4")
+@query("proposal_texts", "SELECT clip_id * 4294967296 + p_ord AS clip_id, CAST(0 AS BIGINT) AS p_ord, from_i, to_i, reason FROM proposals WHERE (clip_id + p_ord) % 5 <> 4")
 def read_proposal_texts(c):
     return AN.read_proposals(proposal_texts(c))[0]
 
 
-@query("proposal_text_rejects", "SELECT clip_id * 10000 + p_ord AS clip_id, 'no JSON' AS problem FROM proposals WHERE (clip_id + p_ord) % 5 = 4")
+@query("proposal_text_rejects", "SELECT clip_id * 4294967296 + p_ord AS clip_id, 'no JSON' AS problem FROM proposals WHERE (clip_id + p_ord) % 5 = 4")
 def proposal_text_rejects(c):
     return AN.read_proposals(proposal_texts(c))[1]
 
 
 def copy_texts(c):
     """Card copy per unit with one good and two badly typed corrections."""
-    return c.units.select((F.col("clip_id") * 10000 + F.col("unit")).alias("clip_id"), F.concat(
+    return c.units.select((F.col("clip_id") * 4294967296 + F.col("unit")).alias("clip_id"), F.concat(
         F.lit('{"beats":{"b'), F.col("unit").cast("string"), F.lit('":{"text":"five words","pct":'), (F.col("unit") % 90).cast("string"), F.lit(',"items":["a","b c"]}},"corrections":[{"i":'),
         F.col("first_i").cast("string"), F.lit(',"text":"Fixed"},{"i":"x","text":"no"},{"i":3}]}')).alias("text"))
 
 
-@query("copy_fields", "SELECT clip_id * 10000 + unit AS clip_id, unit, f.field AS field, f.kind AS kind, CASE f.field WHEN 'text' THEN 'five words' WHEN 'pct' THEN CAST(unit % 90 AS VARCHAR) END AS value, CASE f.field WHEN 'items' THEN 'a|b c' END AS items FROM units CROSS JOIN (VALUES ('text', 'string'), ('pct', 'number'), ('items', 'array')) f(field, kind)")
+@query("copy_fields", "SELECT clip_id * 4294967296 + unit AS clip_id, unit, f.field AS field, f.kind AS kind, CASE f.field WHEN 'text' THEN 'five words' WHEN 'pct' THEN CAST(unit % 90 AS VARCHAR) END AS value, CASE f.field WHEN 'items' THEN 'a|b c' END AS items FROM units CROSS JOIN (VALUES ('text', 'string'), ('pct', 'number'), ('items', 'array')) f(field, kind)")
 def copy_fields(c):
     return AN.read_copy(copy_texts(c))[0].withColumn("items", F.array_join("items", "|")).drop("icons")
 
 
-@query("copy_corrections", "SELECT clip_id * 10000 + unit AS clip_id, 0 AS c_ord, CAST(first_i AS BIGINT) AS i, 'Fixed' AS text FROM units")
+@query("copy_corrections", "SELECT clip_id * 4294967296 + unit AS clip_id, 0 AS c_ord, CAST(first_i AS BIGINT) AS i, 'Fixed' AS text FROM units")
 def copy_corrections(c):
     return AN.read_copy(copy_texts(c))[1]
 

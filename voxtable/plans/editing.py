@@ -353,12 +353,12 @@ def transition_in(c):
     return T.transition_in(struct0(c)).select("clip_id", "unit", "transition_in")
 
 
-table("pw0", "SELECT s.clip_id, s.unit, s.layout = 'full' AND a.prob >= 0.2 AS wants, row_number() OVER (PARTITION BY s.clip_id ORDER BY s.unit) AS rn FROM struct0 s JOIN answers a ON a.clip_id = s.clip_id AND a.unit = s.unit AND a.question = 'camera' AND a.label = 'punch'")
+table("pw0", "SELECT s.clip_id, s.unit, s.layout = 'full' AND a.prob >= 0.6 AS wants, row_number() OVER (PARTITION BY s.clip_id ORDER BY s.unit) AS rn FROM struct0 s JOIN answers a ON a.clip_id = s.clip_id AND a.unit = s.unit AND a.question = 'camera' AND a.label = 'punch'")
 
 
 def punches(c):
     # the threshold is lower than the operator's default so that the flat test distributions reach it
-    return D.punch_flags(struct0(c).select("clip_id", "unit", ((F.col("layout") == "full") & (F.col("p_punch") >= 0.2)).alias("wants")))
+    return D.punch_flags(struct0(c).select("clip_id", "unit", ((F.col("layout") == "full") & (F.col("p_punch") >= 0.6)).alias("wants")))
 
 
 @query("punch_flags", """WITH RECURSIVE pp AS (SELECT clip_id, rn, unit, wants AS punch FROM pw0 WHERE rn = 1 UNION ALL SELECT x.clip_id, x.rn, x.unit, x.wants AND NOT p.punch FROM pp p JOIN pw0 x ON x.clip_id = p.clip_id AND x.rn = p.rn + 1)
