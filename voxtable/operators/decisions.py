@@ -324,7 +324,9 @@ def break_streaks(units: DataFrame, dists: DataFrame, question: str, most: int =
     """The third equal label in a row is re-picked from the unit's own distribution: (clip_id, unit, label)."""
     labels = fixed.MENUS[question]
     n = len(labels)
-    d = units.join(fresh(dists.select("clip_id", "unit", F.transform(f"{question}_d", lambda x: x["prob"]).alias("probs"))), ["clip_id", "unit"])
+    d = units.join(fresh(dists.select("clip_id", "unit", F.transform(f"{question}_d", lambda x: x["prob"]).alias("probs"))), ["clip_id", "unit"], "left")
+    # Without a distribution a unit's own choice has all the weight.
+    d = d.withColumn("probs", F.coalesce("probs", F.array(*[(F.col("label") == lab).cast("double") for lab in labels])))
     where = {lab: k for k, lab in enumerate(labels)}
 
     def table(pdf: pd.DataFrame) -> np.ndarray:
