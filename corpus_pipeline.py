@@ -1,4 +1,7 @@
-"""From raw documents to packed training sequences, in five stages. Each reads the documents its predecessor kept."""
+"""From raw documents to packed training sequences, in five stages. Each reads the documents its predecessor kept.
+
+Filters name the documents that go, by doc_id; few go, so texts are not shuffled for them. Rows without doc_id stay; rows of
+one doc_id go together."""
 from __future__ import annotations
 
 import public_tokenizers
@@ -6,25 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxtable.functions.stage import stage
 from voxtable.llm import bin_slack, disclosure, language, minhash_forest, spaced_seeds
-from voxtable.llm.common import table
+from voxtable.llm.common import table, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go."""
-    accepted = stage(language.of_documents(docs).where("accepted").select("doc_id").distinct(), "accepted")
-    return docs.join(accepted, "doc_id", "left_semi").select(*docs.columns)
+    rejected = stage(language.of_documents(docs).where("not accepted").select("doc_id").distinct(), "rejected")
+    return without(docs, rejected, "doc_id").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least doc_id stays."""
-    kept = stage(minhash_forest.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = stage(minhash_forest.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
+    return without(docs, copies, "doc_id").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     found = stage(spaced_seeds.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found, "doc_id").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

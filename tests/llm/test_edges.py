@@ -61,4 +61,4 @@ def test_pipeline(spark, folder):
     assert seen == [[1, 1, 4, 5, 7], [1, 1, 4, 7], [4, 7], [4, 7]]
     text = {x.doc_id: x.text for x in last.collect()}
     assert "10.0.0.1" not in text[4] and text[7] == "[EMAIL] [PHONE]"
-    assert {x.doc_id for x in rows} == {4, 7}
+    assert text[None] == "No id, mail [EMAIL]" and {x.doc_id for x in rows} == {4, 7, None}

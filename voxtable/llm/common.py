@@ -24,6 +24,13 @@ def only(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids, on, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose identifier is not among the (written) ids, in the same way. Rows without identifier stay."""
+    if ids.count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(ids), on, "left_anti")
+    return df.join(ids, on, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a bigint, b bigint): one row (id, component) per linked id, component
     being the smallest id that can be reached.
@@ -35,15 +42,21 @@ def components(edges: DataFrame) -> DataFrame:
     No links give no rows; links of an id to itself and repeated links are ignored; nulls are dropped."""
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
+    few = max(8, shuffle_partitions(edges.sparkSession) // 8)
+
+    def kept_as(df: DataFrame, name: str) -> DataFrame:
+        """Two numbers per row: an eighth of the usual partitions is enough."""
+        return stage(df.coalesce(few), name)
+
     while True:
         # Large star: every larger neighbour of u points to the least of u and its neighbours.
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = stage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = kept_as(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = kept_as(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # Small star: every smaller neighbour of u, and u itself, points to the least of them.
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = kept_as(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         kept = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = stage(kept.where("u <> v").distinct(), "links")
+        links = kept_as(kept.where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -146,11 +146,15 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs with identifiers replaced by their kind in brackets and disclosing terms generalised or removed. Spans that
     touch are replaced as one, by the first one's kind. Texts without spans stay as they are."""
     found = stage(find_spans(docs, doc_id, text).where("size(base) + size(added) > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "added")).alias("__spans")), "spans")
-    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint")).join(found, "__id", "left").withColumn(text, _replaced(f"`{text}`", "__spans"))
+    # Only texts that hold some span are joined (and shuffled); the others pass.
+    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint")).withColumn("__base", base_spans(f"`{text}`"))
+    plain = plain.withColumn("__any", (F.size("__base") > 0) | (F.size(swallowed_spans(f"`{text}`", "__base")) > 0))
+    rest = plain.where("not __any").select(*docs.columns)
+    plain = plain.where("__any").join(found, "__id", "left").withColumn("__spans", F.coalesce("__spans", "__base")).withColumn(text, _replaced(f"`{text}`", "__spans"))
     # What a dropped match had kept from matching may match now.
     for _ in range(2):
         plain = plain.withColumn("__spans", F.when(F.col("__spans").isNotNull(), base_spans(f"`{text}`"))).withColumn(text, _replaced(f"`{text}`", "__spans"))
-    return plain.select(*docs.columns)
+    return plain.select(*docs.columns).unionAll(rest)
 
 
 def op7_disclosure(spark, folder: str) -> DataFrame:
