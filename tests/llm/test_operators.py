@@ -229,6 +229,25 @@ def test_disclosing_terms_and_sanitising(spark):
     assert clean[500].text == "[PHONE] [CARD] done" and clean[501].text is None and clean[502].text == "plain river" and len(clean) == len(docs)
 
 
+def test_terms_are_found_in_whole_texts(spark):
+    """The name at the head and the address at the foot count together, and the name goes wherever it stands."""
+    r = random.Random(6)
+    fill = lambda n=20: " ".join(r.choice(["apple", "river", "stone", "cloud"]) for _ in range(n))
+    docs = [(i, fill()) for i in range(1000, 1900)]
+    docs += [(i, f"by Quizzlewick {fill(60)} mail q@w.org {i} {fill(60)} QUIZZLEWICK") for i in range(5)]
+    docs += [(10 + i, f"{fill(9)} quizzlewick, alone {i}") for i in range(4)]
+    docs += [(20 + i, f"{fill(9)} Brompton {fill(60)} {i} b@w.net") for i in range(3)] + [(30, "a Brompton é😀 brompton")]
+    docs += [(40 + i, "Copied words c@w.com") for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = {x.doc_id: x.spans.split(",") for x in disclosure.report(disclosure.find_spans(df)).collect()}
+    clean = {x.doc_id: x.text for x in disclosure.sanitise(df).collect()}
+    for i, t in docs:
+        at = [m.span() for m in re.finditer("quizzlewick|brompton", t, re.I)]
+        assert all(f"term:{a}:{b}" in found[i] for a, b in at), t
+        assert not re.search("quizzlewick|brompton|@", clean[i], re.I)
+    assert clean[10].endswith("[TERM], alone 0") and clean[40].startswith("Copied words") and clean[1000] == docs[0][1] and len(clean) == len(docs)
+
+
 def test_archives_round_trip(spark, tmp_path):
     r = random.Random(6)
     pages = [(i, f"http://h/{i}\r\nX: y", r.choice(["", "<p>ä</p>", "x" * 150, "y" * 100, "z" * 99, None, "".join(r.choice("ab<>\r\n") for _ in range(r.randint(0, 9000)))])) for i in range(60)]

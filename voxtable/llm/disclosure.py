@@ -1,17 +1,20 @@
 """Personal data in texts, and terms that give it away, with DataFrame and SQL functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers; numbers that a longer run of digits
-swallows are added. The method adds terms: words beside an
-identifier from which it could be guessed. A term t discloses an identifier e if it was seen near e in at least
-SUPPORT different contexts and if, of all documents of the corpus that hold t, at least a share of DISCLOSURE hold it near
-e; seeing t then narrows the identifier down by log2(P(e | t) / P(e)) bits, of which at least BITS are needed. Such
-terms are generalised; from a share of CERTAIN on they are removed.
-
-Plan: one pass over the texts lists base spans and the window of REACH characters around each (a written table without the
-texts); (identifier, term) pairs are counted with partial aggregation; one more pass counts the documents that hold each
-candidate term; the disclosing pairs are joined back to the windows. No group is gathered except the spans of one
-document. The patterns use possessive loops and look behind, so that matching takes linear time and no deep stack on
-texts without white space; they match what the plain patterns match.
+swallows are added. The method adds terms: words that go with an identifier, from which it could be guessed. A term t
+discloses an identifier e if at least SUPPORT different texts hold both (or t stands within REACH characters of e in as many
+different windows, be it in one document) and if, of all documents of the corpus that hold t, at least a share of
+DISCLOSURE hold e anywhere in their text; seeing t then narrows the identifier down by log2(P(e | t) / P(e)) bits, of
+which at least BITS are needed. A disclosing term is generalised wherever it stands, in documents without the identifier
+as well; from a share of CERTAIN on it is removed.
+
+Plan: one pass over the texts lists base spans and the window around each (a written table without the texts). An
+identifier in more than 2**-BITS of all documents cannot be disclosed and is left out, and so is a term in more than that
+or mostly in documents without such identifiers; only for the terms that remain are (identifier, term) pairs counted, with
+partial aggregation. The disclosing terms are then looked up in all whole texts: one pass names the documents that hold
+one, and the places of words are listed in these alone. No group is gathered except the spans of one document. The patterns
+use possessive loops and look behind, so that matching takes linear time and no deep stack on texts without white space;
+they match what the plain patterns match.
 
 Null or empty text: no spans. Repeated doc_ids get the terms of either row (ids are expected to be unique). Null doc_ids:
 base spans only. Other columns are kept by ``sanitise`` and not read. An empty table gives no rows."""
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.stage import stage
 
-from .common import only, table
+from .common import BROADCAST_IDS, only, table, without
 
 REACH, SUPPORT, DISCLOSURE, CERTAIN, BITS = 100, 2, 0.5, 0.9, 6.0
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -92,19 +95,37 @@ def _windows(base: DataFrame) -> DataFrame:
     return one.select("doc_id", F.col("a.entity").alias("entity"), F.col("a.at").alias("at"), F.col("a.window").alias("window"))
 
 
+def _terms(text: str) -> Column:
+    """The different words of a text in lower case, of which each character stands for one of the text's."""
+    return F.array_distinct(F.split(F.lower(F.translate(F.col(text), "\u0130", "i")), _WORD))
+
+
+def _held(docs: DataFrame, text: str, *kept: str | Column) -> DataFrame:
+    """The kept columns and term, a row for each different word of a document."""
+    return docs.select(*kept, F.explode(_terms(text)).alias("term")).where(F.length("term") >= 3)
+
+
 def disclosing_terms(windows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, share) of the terms that give an identifier away. windows: (doc_id, entity, at, window)."""
     n = docs.count()
-    near = windows.select("doc_id", "entity", F.xxhash64("window").alias("context"), F.explode(F.array_distinct(F.split(F.lower("window"), _WORD))).alias("term")).where(F.length("term") >= 3)
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").count().where(F.col("count") >= SUPPORT).select("entity", "term")
-    contexts = stage(contexts, "contexts")
-    held = near.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).join(contexts, ["entity", "term"], "left_semi")
-    terms = stage(contexts.select("term").distinct(), "terms")
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), _WORD))).alias("term"))
-    df = only(every, terms, "term").groupBy("term").agg(F.count("*").alias("df"))
-    of = windows.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("docs"))
+    least = 2.0 ** BITS
+    # P(e | t) is 1 at most, so an identifier of more documents gives too few bits.
+    pairs = windows.select("doc_id", "entity").distinct()
+    of = stage(pairs.groupBy("entity").agg(F.count("*").alias("docs")).where(F.col("docs") * least <= n), "entities")
+    holders = stage(pairs.join(of, "entity"), "holders")
+    ids = stage(holders.select("doc_id").distinct(), "holder-ids")
+    inside = _held(only(docs, ids, "doc_id"), text, "doc_id", F.xxhash64(text).alias("same"))
+    # Windows count by themselves, since they may lie in one document.
+    near = _held(windows.join(of, "entity", "left_semi"), "window", "entity", F.xxhash64("window").alias("context"))
+    near = stage(near.groupBy("entity", "term").agg((F.min("context") != F.max("context")).alias("near")).where("near"), "near")
+    known = stage(inside.groupBy("term").agg(F.count("*").alias("inside"), (F.min("same") != F.max("same")).alias("many")).where("many").select("term", "inside")
+                  .unionAll(near.select("term", F.lit(None).cast("bigint"))).groupBy("term").agg(F.max("inside").alias("inside")), "known")
+    df = only(_held(docs, text), known.select("term"), "term").groupBy("term").agg(F.count("*").alias("df"))
+    # both <= docs and both <= inside: what fails here fails for every identifier.
+    terms = stage(df.join(known, "term").where((F.col("df") * least <= n) & (F.coalesce("inside", "df") >= DISCLOSURE * F.col("df"))).select("term", "df"), "terms")
+    both = only(inside, terms.select("term"), "term").join(holders, "doc_id").groupBy("entity", "term", "docs").agg(F.count("*").alias("both"), (F.min("same") != F.max("same")).alias("many"))
     share = F.least(F.col("both") / F.col("df"), F.lit(1.0))
-    return (held.join(df, "term").join(of, "entity").withColumn("share", share)
+    return (both.join(near, ["entity", "term"], "left").where("many or near").join(terms, "term").withColumn("share", share)
             .where((F.col("share") >= DISCLOSURE) & (F.log2(F.col("share") * n / F.col("docs")) >= BITS)).select("entity", "term", "share"))
 
 
@@ -116,12 +137,15 @@ def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         'window', concat(if(s.start > {REACH}, 'x', ''), substring(text, greatest(s.start - {REACH}, 0) + 1, s.end - greatest(s.start - {REACH}, 0) + {REACH}), if(s.end + {REACH} < char_length(text), 'x', ''))))""")
     base = stage(plain.withColumn("spans", base_spans("text")).withColumn("swallowed", swallowed_spans("text", "spans")).withColumn("around", around).select("doc_id", "spans", "swallowed", "around"), "base")
     windows = _windows(base.where("doc_id is not null"))
-    giving = stage(disclosing_terms(windows, plain), "giving")
-    words = windows.select("doc_id", "entity", "at", "window", F.explode(F.array_distinct(F.split(F.lower("window"), _WORD))).alias("term")).join(giving, ["entity", "term"])
-    pattern = "concat('(?iu)(?<![\\\\p{L}\\\\p{N}])', term, '(?![\\\\p{L}\\\\p{N}])')"
-    found = F.expr(_matches("window", pattern, 4, "at", f"if(share >= {CERTAIN}, '', x.b)"))
-    spans = words.select("doc_id", F.explode(found).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("terms"))
-    spans = stage(spans, "term-spans")
+    giving = stage(disclosing_terms(windows, plain).groupBy("term").agg(F.max("share").alias("share")), "giving")
+    few = giving.count() <= BROADCAST_IDS
+    named = plain.where("doc_id is not null")
+    hits = stage(only(_held(named, "text", "doc_id"), giving.select("term"), "term").select("doc_id").distinct(), "hits")
+    placed = F.expr(_matches("text", r"'[\\p{L}\\p{N}]++'", 4, "0", "lower(translate(x.b, '\u0130', 'i'))"))
+    words = only(named, hits, "doc_id").select("doc_id", F.explode(placed).alias("s")).select("doc_id", "s", F.col("s.value").alias("term"))
+    words = words.join(F.broadcast(giving) if few else giving, "term")
+    span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.when(F.col("share") >= CERTAIN, "").otherwise(F.col("term")).alias("value"))
+    spans = stage(words.groupBy("doc_id").agg(F.collect_set(span).alias("terms")), "term-spans")
     free = F.expr("filter(coalesce(terms, array()), t -> not exists(concat(spans, swallowed), b -> b.start < t.end and t.start < b.end))")
     return base.select("doc_id", "spans", "swallowed").join(spans, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("swallowed", free)).alias("added"))
 
@@ -147,10 +171,11 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     touch are replaced as one, by the first one's kind. Texts without spans stay as they are."""
     found = stage(find_spans(docs, doc_id, text).where("size(base) + size(added) > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "added")).alias("__spans")), "spans")
     # Only texts that hold some span are joined (and shuffled); the others pass.
-    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint")).withColumn("__base", base_spans(f"`{text}`"))
-    plain = plain.withColumn("__any", (F.size("__base") > 0) | (F.size(swallowed_spans(f"`{text}`", "__base")) > 0))
-    rest = plain.where("not __any").select(*docs.columns)
-    plain = plain.where("__any").join(found, "__id", "left").withColumn("__spans", F.coalesce("__spans", "__base")).withColumn(text, _replaced(f"`{text}`", "__spans"))
+    ids = stage(found.select("__id"), "span-ids")
+    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint"))
+    rest = without(plain.where("__id is not null"), ids, "__id").select(*docs.columns)
+    bare = plain.where("__id is null").withColumn("__spans", base_spans(f"`{text}`"))
+    plain = only(plain, ids, "__id").join(found, "__id").select(*bare.columns).unionAll(bare).withColumn(text, _replaced(f"`{text}`", "__spans"))
     # What a dropped match had kept from matching may match now.
     for _ in range(2):
         plain = plain.withColumn("__spans", F.when(F.col("__spans").isNotNull(), base_spans(f"`{text}`"))).withColumn(text, _replaced(f"`{text}`", "__spans"))
