@@ -326,6 +326,23 @@ def test_spaced_seeds(spark):
     assert got == {(0, 0): (50, 80, 30), (1, 0): (20, 50, 26), (3, 1): (0, 14, 14), (4, 2): (3, 9, 6), (5, 3): (5, 9, 4), (7, 0): (9, 25, 16)}
 
 
+def test_overlap_on_each_side_of_a_replaced_middle():
+    item = np.arange(42, dtype=np.uint64)
+    doc = np.concatenate([np.full(5, 99, np.uint64), item, np.full(5, 99, np.uint64)])
+    doc[5 + 15:5 + 27] = 77
+    assert spaced_seeds.overlap(doc, item, 5) == (5, 20, 15)
+    r = np.random.RandomState(1)
+    for _ in range(300):
+        n = r.randint(1, 40)
+        item = np.arange(n, dtype=np.uint64)
+        doc = np.where(r.rand(n) < r.choice([0.5, 0.7, 0.9]), item, np.uint64(99))
+        same = doc == item
+        least = max(3, min(spaced_seeds.WORDS, int(np.ceil(spaced_seeds.SHARE * n))))
+        good = [(int(same[a:b].sum()), a - b, -a) for a in range(n) for b in range(a + 1, n + 1) if 4 * same[a:b].sum() >= 3 * (b - a) and same[a:b].sum() >= least]
+        m, length, a = max(good, default=(0, 0, 0))
+        assert spaced_seeds.overlap(doc, item, 0) == ((-a, -a - length, m) if good else None)
+
+
 def test_licences(spark):
     r = random.Random(9)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(500)]

@@ -2,9 +2,9 @@
 
 Seeds are fixed masks over runs of words; a mask's zeros are places whose words do not matter. Every place of a benchmark
 item gives one hash per mask, and so does every place of every document; where two are equal, document and item are laid
-over each other at that offset and compared word by word in both directions. The best stretch (a match counts 1, a
-substituted word -1) is an overlap if it has WORDS matching words, or SHARE of the item's words where that is less, and
-at least three quarters of its words match. So an overlap is found although single words were replaced.
+over each other at that offset and compared word by word in both directions. A stretch is an overlap if it has WORDS
+matching words, or SHARE of the item's words where that is less, and at least three quarters of its words match; of all
+stretches on the diagonal the one of most matches is given. So an overlap is found although words were replaced.
 
 The benchmark is a stated set of queries that is run against all documents, in blocks: items are dealt into blocks of
 BLOCK bytes, whose hashes go to the tasks; documents are read once per block and nothing is shuffled. Whole texts are
@@ -81,16 +81,25 @@ class Seeds:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, at: int) -> tuple[int, int, int] | None:
-    """Best stretch of an item laid over a document's words from at on: (first word, end word, matches), or None."""
+    """The stretch of most matches, three quarters of its words at least, of an item laid over a document's words from
+    at on, and of these the shortest and first: (first word, end word, matches), or None if it has too few."""
     a, b = max(at, 0), min(at + len(item), len(doc))
     same = doc[a:b] == item[a - at:b - at]
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.argmin(sums[:end + 1]))
-    matches = int(same[start:end].sum())
-    enough = matches >= min(WORDS, int(np.ceil(SHARE * len(item)))) and matches >= 3 and 4 * matches >= 3 * (end - start)
-    return (a + start, a + end, matches) if enough else None
+    count = np.concatenate([[0], np.cumsum(same)])
+    least = max(min(WORDS, int(np.ceil(SHARE * len(item)))), 3)
+    if count[-1] < least:
+        return None
+    # A match counts 1 and a substituted word -3: a stretch is good from 0 on, and the best one begins and ends on a match.
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
+    starts, ends = np.flatnonzero(same), np.flatnonzero(same) + 1
+    # From each start the farthest end whose sum is not less, by the largest sum of all ends from there on.
+    later = np.maximum.accumulate(sums[ends][::-1])[::-1]
+    far = np.searchsorted(-later, -sums[starts], side="right") - 1
+    matches = count[ends[far]] - count[starts]
+    best = np.lexsort((starts, ends[far] - starts, -matches))[0]
+    if matches[best] < least:
+        return None
+    return a + int(starts[best]), a + int(ends[far[best]]), int(matches[best])
 
 
 def _searcher(block):
