@@ -352,3 +352,19 @@ def test_licences(spark):
     docs += [(50 + i, f"{line()}\n{line()}", "none") for i in range(60)] + [(200, None, "none"), (201, "", "none"), (202, "Licensed under the Fancy License, Version 9.1.", "unknown"), (203, line() + " Released under the MIT License. " + line(), "mit")]
     rows = {x.doc_id: x for x in licences.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string")).collect()}
     assert {i: rows[i].licence for i, *_ in docs} == {i: k for i, _, k in docs}
+
+
+def test_wrapped_licences(spark):
+    r = random.Random(10)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    line = lambda: " ".join(r.choice(vocab) for _ in range(r.randint(3, 14)))
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    bsd = "Redistribution and use in source\nand binary forms, with or\nwithout modification,\nare permitted"
+    lines = lambda t, mark: "\n".join(mark + x for x in t.split("\n"))
+    docs = [(k, f"{line()}\n{line()}\n{gap}{lines(t, mark)}\n{gap}{line()}\n{line()}", name)
+            for k, (name, t, mark, gap) in enumerate((n, t, m, g) for n, t in (("gpl", gpl), ("bsd", bsd)) for m in ("", " * ", "# ") for g in ("", " \r\n"))]
+    docs += [(50 + i, "\n".join(line() for _ in range(9)), "none") for i in range(60)]
+    rows = {x.doc_id: x for x in licences.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string").repartition(3)).collect()}
+    assert {i: rows[i].licence for i, *_ in docs} == {i: k for i, _, k in docs}
+    assert all(rows[i].families in (k, "") for i, _, k in docs)

@@ -1,14 +1,16 @@
 """Licence scans by a trained paragraph classifier.
 
-1. Paragraphs (lines, cut into pieces of PIECE_WORDS words where they are longer, with an overlap of half a piece) are
-   described by hashed words and word pairs.
+1. Lines, and paragraphs of several lines (parted by blank lines), are cut into pieces of PIECE_WORDS words where they are
+   longer, with an overlap of half a piece. Pieces are described by hashed words and word pairs. So a notice is seen
+   both as a line among others and wrapped over lines. It counts once: a paragraph's piece adds to what its lines tell
+   where it names a family that they do not, and then replaces their "unknown".
 2. A multinomial logistic regression over sparse features tells licence families, a class "unknown" for other licence
    wording and a class "none" for ordinary text. It is trained here, on variants of the templates below, on unnamed
-   licence wording, and on at most SAMPLE_TEXTS texts of the corpus for "none".
+   licence wording, and on SAMPLE_TEXTS different texts of the corpus, drawn by hash, for "none".
    Ordinary text being by far the most, "none" starts with log odds of ORDINARY: words never seen make no notice.
 3. A piece is a notice if "none" has less than 1 - SURE. A temperature fitted on variants held out from training makes its probabilities honest. A family of less than SURE is
    "unknown".
-4. A predicted family stands if the piece also has at least CONFIRM of the word pairs of one of the family's templates;
+4. A predicted family stands if the piece, with half a piece of its line or paragraph on either side, also has at least CONFIRM of the word pairs of one of the family's templates;
    else the notice is "unknown", which needs half of the word pairs of any licence wording.
 
 Null or empty text: no notice. Repeated rows give a row each; null ids are kept. Other columns are not read. An empty table
@@ -156,14 +158,32 @@ def worded(text: str) -> bool:
     return any(2 * len(p & have) >= len(p) for p in _WORDING)
 
 
-def _cut(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of every piece of the lines of a few texts."""
-    breaks = np.union1d(np.searchsorted(w.start, np.flatnonzero(w.data == 10)), w.first)
+def _breaks(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which lines begin, and at which paragraphs do; the number of words is the last of both."""
+    at = np.flatnonzero(w.data == 10)
+    solid = np.concatenate([[0], np.cumsum(~np.isin(w.data, (9, 10, 11, 12, 13, 32)))])
+    blank = at[1:][solid[at[1:]] == solid[at[:-1]]]
+    return tuple(np.union1d(np.searchsorted(w.start, x), w.first) for x in (at, blank))
+
+
+def _cut(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word of every piece of the stretches between breaks, and first and end word of its stretch."""
     a, b = breaks[:-1], breaks[1:]
     step = PIECE_WORDS // 2
     n = np.where(b - a > PIECE_WORDS, -(-(b - a - PIECE_WORDS) // step) + 1, 1)
-    start = np.repeat(a, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    return start, np.minimum(start + PIECE_WORDS, np.repeat(b, n))
+    low, high = np.repeat(a, n), np.repeat(b, n)
+    start = low + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return start, np.minimum(start + PIECE_WORDS, high), low, high
+
+
+def _pieces(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, both of its stretch, whether over lines) of the pieces of lines, then of paragraphs."""
+    lines, paragraphs = _breaks(w)
+    one, many = _cut(lines), _cut(paragraphs)
+    # Pieces within one line are there already.
+    wide = np.searchsorted(lines, many[0], side="right") < np.searchsorted(lines, many[1], side="left")
+    both = [np.concatenate([x, y[wide]]) for x, y in zip(one, many)]
+    return *both, np.arange(len(both[0])) >= len(one[0])
 
 
 def _scanner(model: Classifier):
@@ -171,9 +191,9 @@ def _scanner(model: Classifier):
 
     def notices(w: Words) -> Iterator[tuple[int, str, float]]:
         """(row, family or "unknown", probability) of every piece that the classifier takes for a notice."""
-        start, end = _cut(w)
+        start, end, low, high, wide = _pieces(w)
         keep = end > start
-        start, end = start[keep], end[keep]
+        start, end, low, high, wide = start[keep], end[keep], low[keep], high[keep], wide[keep]
         if not len(start):
             return
         # Sums of the weights of words and pairs over a piece, from running sums.
@@ -188,14 +208,29 @@ def _scanner(model: Classifier):
         p = _softmax(score / model.temperature)
         best = p.argmax(axis=1)
         row = np.searchsorted(w.first, start, side="right") - 1
+        half = PIECE_WORDS // 2
+        found: dict[int, list[tuple[int, int, str, float]]] = {}
+
+        def text(a: int, b: int) -> str:
+            return w.data[w.start[a]:w.end[b - 1]].tobytes().decode("utf-8", "replace")
+
         for i in np.flatnonzero((best != none) & (p[:, none] < 1 - SURE)):
             name, sure = model.classes[best[i]], float(p[i, best[i]])
-            piece = w.data[w.start[start[i]]:w.end[end[i] - 1]].tobytes().decode("utf-8", "replace")
-            if name != "unknown" and (sure < SURE or confirmed(name, piece) < CONFIRM):
+            a, b = int(start[i]), int(end[i])
+            if name != "unknown" and (sure < SURE or confirmed(name, text(max(a - half, low[i]), min(b + half, high[i]))) < CONFIRM):
                 name = "unknown"
-            if name == "unknown" and not worded(piece):
+            if name == "unknown" and not worded(text(a, b)):
                 continue
-            yield int(row[i]), name, sure
+            own = found.setdefault(int(row[i]), [])
+            if wide[i]:
+                beside = [x for x in own if x[0] < b and a < x[1]]
+                if any(name in ("unknown", x[2]) for x in beside):
+                    continue
+                own[:] = [x for x in own if x not in beside or x[2] != "unknown"]
+            own.append((a, b, name, sure))
+        for r, own in found.items():
+            for _, _, name, sure in own:
+                yield r, name, sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +251,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, licence, families, notices, probability) of every row: the likeliest family ("unknown", "none"), all that
     were found, the number of pieces with a notice."""
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ordinary = plain.where("text is not null and not lower(text) rlike 'licen[cs]|copyright|all rights|permission'").select("text").limit(SAMPLE_TEXTS).collect()
-    return plain.mapInArrow(_scanner(Classifier([r[0] for r in ordinary])), "doc_id bigint, licence string, families string, notices bigint, probability double")
+    usual = plain.where("text is not null and not lower(text) rlike 'licen[cs]|copyright|all rights|permission'").select("text", F.xxhash64("text").alias("key"))
+    keys = [r[0] for r in usual.select("key").distinct().orderBy("key").limit(SAMPLE_TEXTS).collect()]
+    ordinary = sorted((r[0], r[1]) for r in usual.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("text")).collect())
+    return plain.mapInArrow(_scanner(Classifier([t for _, t in ordinary])), "doc_id bigint, licence string, families string, notices bigint, probability double")
 
 
 def op10_licences(spark, folder: str) -> DataFrame:
