@@ -311,6 +311,22 @@ def test_language_fusion(spark):
     assert all(0 < x.probability <= 1 for x in rows.values())
 
 
+def test_a_rare_language_of_a_large_table_is_known(spark):
+    r = random.Random(12)
+    say = lambda w, n=12: " ".join(r.choice(w) for _ in range(n))
+    kinds = {"en": ["the", "and", "thing", "with", "shall"], "cy": ["mae", "yng", "nghymru", "llawer", "hwyl"]}
+    copy = say(kinds["en"])
+    docs = [(i, "en", copy if i % 3 == 0 else say(kinds["en"])) for i in range(12000)] + [(20000 + i, "cy", say(kinds["cy"])) for i in range(3)]
+    docs += [(30000, None, say(kinds["cy"]))] + [(40000 + i, f"x{i // 2:02d}"[:3], say([f"{chr(97 + i // 2 % 26)}q{chr(97 + i // 52)}w"])) for i in range(140)]
+    df = spark.createDataFrame(docs, "doc_id bigint, lang string, text string").repartition(4)
+    langs, weights = language.fit(df.selectExpr("lang language", "text"))
+    assert len(langs) == 73 and langs[:2] == ["en", "cy"] and langs[-1] == "und" and weights.shape[0] == 73
+    one, two = (language.fit(df.where("lang = 'en'").selectExpr("lang language", "text").unionAll(x))[1] for x in (df.where("lang = 'en'").limit(0).selectExpr("lang", "text"), df.where("doc_id = 3").selectExpr("lang", "text")))
+    assert np.allclose(one, two, atol=1e-4)
+    rows = {x.doc_id: x for x in language.identify(df.where("doc_id < 40000"), df.where("doc_id < 40000").selectExpr("lang language", "text"), declared="lang").collect()}
+    assert all(rows[i].language == "cy" and rows[i].accepted for i in (20000, 20001, 20002, 30000)) and rows[5].language == "en"
+
+
 def test_spaced_seeds(spark):
     r = random.Random(8)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]

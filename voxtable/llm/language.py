@@ -2,8 +2,8 @@
 
     P(l | all) ~ P(l | host) * P(text | l) ** k * P(declared | l) * P(suffix | l)
 
-* Text: naive Bayes over hashed letter trigrams. It is fitted on at most TRAIN_ROWS texts of known language, drawn by a hash
-  of the id. k keeps a text's weight at EVIDENCE trigrams, since trigrams of one text are far from independent. The
+* Text: naive Bayes over hashed letter trigrams. It is fitted on all texts of known language: each task sums trigrams by
+  language, and the sums are added in a grouped aggregation. A text that repeats in a language counts once. k keeps a text's weight at EVIDENCE trigrams, since trigrams of one text are far from independent. The
   class "und" knows no trigram; it wins where a text looks like none of the languages.
 * Declared language and address suffix (a two-letter top domain, or a language as a part of the path): how often either
   goes with a language is counted over all rows, the language being what the text alone says.
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtable.functions.stage import stage
 
-from .common import table
+from .common import BROADCAST_IDS, table
 from .tokens import buffers, mix, pieces
 
-TRAIN_ROWS, LEAST_ROWS, MOST_LANGUAGES = 4000, 2, 64
+LEAST_ROWS = 2
+#: Languages whose sums a task holds, or the driver fetches, at once.
+HELD = 64
 BINS, EVIDENCE, SMOOTH, PRIOR, CERTAIN = 1 << 15, 60.0, 0.05, 20.0, 0.9
 
 
@@ -62,17 +64,48 @@ def trigrams(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray,
         yield rows, (mix(key[good]) % np.uint64(BINS)).astype(np.int64), row[:-2][good], letters
 
 
-def fit(sample: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """Languages and log2 P(bin | language), one row per language and "und" as the last, from (language, text)."""
-    by: dict[str, list[str]] = {}
-    for lang, text in sample:
-        by.setdefault(lang, []).append(text)
-    langs = sorted(sorted(x for x in by if len(by[x]) >= LEAST_ROWS), key=lambda x: -len(by[x]))[:MOST_LANGUAGES]
-    counts = np.zeros((len(langs) + 1, BINS))
-    for i, lang in enumerate(langs):
-        for _, bins, _, _ in trigrams(pa.array(by[lang], pa.large_string())):
-            counts[i] += np.bincount(bins, minlength=BINS)
-    counts += SMOOTH
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (language, text, weight) become (language, bin, n)."""
+    held: dict[str, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["language", "bin", "n"])
+        held.clear()
+
+    for batch in batches:
+        langs, weights = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
+        for rows, bins, row, _ in trigrams(batch.column(1)):
+            names, of = np.unique(langs[rows], return_inverse=True)
+            for k, lang in enumerate(names):
+                if lang not in held:
+                    if len(held) >= HELD:
+                        yield from out()
+                    held[lang] = np.zeros(BINS)
+                mine = of[row] == k
+                held[lang] += np.bincount(bins[mine], weights[rows][row[mine]], minlength=BINS)
+    yield from out()
+
+
+def fit(known: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and log2 P(bin | language), one row per language and "und" as the last, from rows (language, text)."""
+    known = known.where("language is not null and text is not null and language <> ''").select("language", "text")
+    sizes = known.groupBy("language").count().where(F.col("count") >= LEAST_ROWS).collect()
+    langs = [x[0] for x in sorted(sizes, key=lambda x: (-x[1], x[0]))]
+    at = {x: i for i, x in enumerate(langs)}
+    counts = np.full((len(langs) + 1, BINS), SMOOTH)
+    if langs:
+        keyed = known.where(F.col("language").isin(langs)).withColumn("key", F.xxhash64("language", "text"))
+        # Only what repeats is joined, so texts are not shuffled up to a checked number.
+        repeated = stage(keyed.groupBy("key").count().where("count > 1"), "repeated")
+        repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+        rows = keyed.join(repeated, "key", "left").select("language", "text", (1 / F.coalesce("count", F.lit(1))).alias("weight"))
+        sums = stage(rows.mapInArrow(_sums, "language string, bin int, n double").groupBy("language", "bin").agg(F.sum("n").alias("n")), "trigrams")
+        for k in range(0, len(langs), HELD):
+            part = sums.where(F.col("language").isin(langs[k:k + HELD])).toArrow()
+            row = np.array([at[x] for x in part["language"].to_pylist()], np.int64)
+            counts[row, part["bin"].to_numpy()] += part["n"].to_numpy()
     return [*langs, "und"], np.log2(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -105,11 +138,8 @@ def _domain(host):
 def identify(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str | None = None, address: str | None = None) -> DataFrame:
     """(doc_id, language, probability, text_language, accepted) of every row of docs.
 
-    known: (language, text), labelled rows of which at most TRAIN_ROWS are used. address: a URL, or just a host or source."""
-    sample = known.where("language is not null and text is not null and language <> ''")
-    total = sample.count()
-    some = sample if total <= TRAIN_ROWS else sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / total))
-    langs, weights = fit([(r[0], r[1]) for r in some.select("language", "text").limit(TRAIN_ROWS + TRAIN_ROWS // 4).toLocalIterator()])
+    known: (language, text), labelled rows. address: a URL, or just a host or source."""
+    langs, weights = fit(known)
     n = len(langs)
     none = F.lit(None).cast("string")
     where = F.col(address).cast("string") if address else none
