@@ -11,6 +11,7 @@ DOCS = [(1, "One two three four five six.", "en", "a.com", 28), (1, "One two thr
         (None, "No id, mail x@y.zz", "fr", "a.com", 1), (6, "\n\n \t", "", "c", 4), (7, "x@y.zz +1 (555) 123-4567", "en", "a.com", 9)]
 PAGES = [(1, "http://a/1", "<p>Body</p>"), (1, "http://a/1", "<p>Body</p>"), (2, None, None), (3, "u", ""), (None, "u", "<p>x"), (4, "u", "<p>" + LONG + "</p>"), (5, "u", "<p>" + LONG + "</p>")]
 VECS = [(1, [1.0, 0.0, 0.5, 0.1], 0), (1, [1.0, 0.0, 0.5, 0.1], 0), (2, None, None), (3, [], 1), (4, [None, 1.0, 1.0, 1.0], 1), (5, [0.0] * 4, 1), (None, [1.0, 0.0, 0.5, 0.1], 1), (6, [1.0, 0.01, 0.5, 0.1], 1)]
+TALKS = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (1, None, "user", None), (2, 0, None, "No end"), (None, 0, "user", "A."), (None, None, None, None), (3, 0, "", ""), (4, 0, "user", LONG + "."), (4, 1, "assistant", LONG)]
 BENCH = [(1, "One two three four five six."), (2, None), (3, ""), (None, "a b c d e f g h")]
 
 
@@ -18,13 +19,15 @@ BENCH = [(1, "One two three four five six."), (2, None), (3, ""), (None, "a b c
 def folder(request, spark, tmp_path_factory):
     where = tmp_path_factory.mktemp(request.param)
     for name, rows, schema in (("documents", DOCS, "doc_id bigint, text string, lang string, source string, n_chars bigint"), ("pages", PAGES, "page_id bigint, url string, html string"),
-                               ("embeddings", VECS, "vec_id bigint, embedding array<float>, label int"), ("benchmark", BENCH, "item_id bigint, text string")):
+                               ("embeddings", VECS, "vec_id bigint, embedding array<float>, label int"), ("benchmark", BENCH, "item_id bigint, text string"),
+                               ("conversations", TALKS, "conv_id bigint, turn bigint, role string, text string")):
         df = spark.createDataFrame(rows if request.param == "odd" else [], schema)
         df.select("*", *[F.lit(7).alias(c) for c in CLASH]).coalesce(2).write.parquet(f"{where}/{name}.parquet")
     return request.param, str(where)
 
 
-EXPECTED = {"op1_tag_ratio": len(PAGES), "op2_backoff_automaton": len(DOCS), "op3_warc": len(PAGES) - 1, "op4_cap_filters": len(VECS) - 1, "op6_language": len(DOCS), "op7_disclosure": len(DOCS), "op10_licences": len(DOCS)}
+EXPECTED = {"op1_tag_ratio": len(PAGES), "op2_backoff_automaton": len(DOCS), "op3_warc": len(PAGES) - 1, "op4_cap_filters": len(VECS) - 1, "op6_language": len(DOCS), "op7_disclosure": len(DOCS), "op10_licences": len(DOCS),
+            "op11_square_catching": len(DOCS), "op12_branch_and_bound": 5, "op13_syncmers": len(DOCS)}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
