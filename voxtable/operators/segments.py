@@ -1,14 +1,12 @@
 """Cutting speech into sentences, phrases, captions, shots and sections."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text
 from ..functions.intervals import points_in
 from ..functions.seq import neighbours, running
-from ..functions.stage import spread, stage
+from ..functions.stage import stage
 
 
 def joined(col: str, order: str = "i", when: Column | None = None) -> Column:
@@ -127,55 +125,14 @@ def giant_words(units: DataFrame, words: DataFrame, emphasis: DataFrame) -> Data
         F.max_by("p", F.struct("em", F.length("p"), -F.col("i"))).alias("word"))
 
 
-def _least_cost_cuts(start: np.ndarray, end: np.ndarray, bq: np.ndarray, is_end: bool) -> list[int]:
-    """Cut positions (exclusive ends) of the cheapest cover of one stretch of words."""
-    n = len(start)
-    low = np.minimum(np.searchsorted(start, end - fixed.SHOT_LOOKBACK_US, side="left"), np.arange(n))
-    reach = int((np.arange(n) - low).max()) + 1
-    # costs of the shots ending with a word, by how many words they hold; many words at a time
-    best, back = np.full(n + reach, np.inf), np.zeros(n + 1, dtype=np.int64)
-    best[reach - 1] = 0.0                       # best[reach - 1 + j]: cheapest cover of the first j words
-    size = np.arange(1, reach + 1)              # the latest start comes first, so it wins a tie
-    for block in range(0, n, 4096):
-        j = np.arange(block, min(n, block + 4096))
-        first = j[:, None] + 1 - size[None, :]
-        d = (end[j][:, None] - start[np.maximum(first, 0)]) / 1e6
-        over, under = np.maximum(d - fixed.SHOT_MAX_S, 0.0), np.maximum(fixed.SHOT_MIN_S - d, 0.0)
-        cost = (d - fixed.SHOT_TARGET_S) ** 2 + np.where(over > 0, 40 * over ** 2 + 4, 0.0) + np.where(under > 0, 25 * under ** 2 + 2, 0.0)
-        cost -= np.where(is_end & (j == n - 1), 0.0, bq[j])[:, None]
-        cost[first < low[j][:, None]] = np.inf
-        cost = np.round(cost, 9)
-        for row, k in zip(cost, j):
-            total = best[k:k + reach][::-1] + row
-            m = int(total.argmin())
-            best[reach + k], back[k + 1] = total[m], k - m
-    cuts, j = [], n
-    while j > 0:
-        cuts.append(j)
-        j = int(back[j])
-    return cuts[::-1]
-
-
-def split_shots(words: DataFrame) -> DataFrame:
+def split_shots(words: DataFrame, size: int | None = None) -> DataFrame:
     """Shots of two to three seconds by least cost: (clip_id, shot_ord, first_i, last_i, start_us, end_us).
 
-    No shot of two or more words may last longer than the look-back, so the cost decomposes at every
-    pause at least that long; each such stretch is solved on its own."""
-    q = neighbours(break_quality(words), "i", {"__pe": ("end_us", -1), "__ne": ("i", 1)}, keep_block=True)
-    new = F.coalesce(F.col("start_us") - F.col("__pe") >= fixed.SHOT_LOOKBACK_US, F.lit(True))
-    r = running(q.withColumn("__new", new.cast("bigint")), "i", {"stretch": ("sum", "__new")})
-    r = r.select("clip_id", "stretch", "i", "start_us", "end_us", "bq", F.col("__ne").isNull().alias("last"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        i, s, e = pdf["i"].to_numpy(), pdf["start_us"].to_numpy(), pdf["end_us"].to_numpy()
-        cuts = np.array(_least_cost_cuts(s, e, pdf["bq"].to_numpy(), bool(pdf["last"].iloc[-1])))
-        heads = np.concatenate([[0], cuts[:-1]])
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "first_i": i[heads], "last_i": i[cuts - 1],
-                             "start_us": s[heads], "end_us": e[cuts - 1]})
-
-    shots = spread(r, "clip_id", "stretch").groupBy("clip_id", "stretch").applyInPandas(
-        solve, "clip_id bigint, first_i bigint, last_i bigint, start_us bigint, end_us bigint")
+    size: words of a block of ``cut_shots``."""
+    from .shot_cuts import WORDS, cut_shots
+    q = neighbours(break_quality(words), "i", {"__ne": ("i", 1)})
+    q = q.select("clip_id", "i", "start_us", "end_us", "bq", F.col("__ne").isNull().alias("last"))
+    shots = cut_shots(q, size or WORDS)
     return _contiguous(stage(_fold_tail(stage(shots, "shots")), "shots_folded"))
 
 

@@ -148,7 +148,22 @@ def giant_words(c):
     return S.giant_words(c.units, c.words, emphasis(c))
 
 
-@query("shot_split")
+@query("shot_split", """
+WITH RECURSIVE cw AS MATERIALIZED (SELECT w.clip_id, w.i, w.start_us, w.end_us, CASE WHEN w.i = max(w.i) OVER (PARTITION BY w.clip_id) THEN 0 ELSE CAST(round_even(b.bq * 1e9, 0) AS BIGINT) END AS q,
+  w.i = max(w.i) OVER (PARTITION BY w.clip_id) AS final FROM words w JOIN bq b USING (clip_id, i)),
+sc AS (SELECT b.clip_id, b.i AS j, a.i AS a, b.q, (b.end_us - a.start_us) / 1e6 AS d FROM cw a JOIN cw b ON a.clip_id = b.clip_id AND a.i <= b.i AND (b.end_us - a.start_us <= 6600000 OR a.i = b.i)),
+cand AS MATERIALIZED (SELECT clip_id, j, list(CAST(round_even(((d - 2.5) * (d - 2.5) + CASE WHEN d > 3.0 THEN 40 * ((d - 3.0) * (d - 3.0)) + 4 ELSE 0 END + CASE WHEN d < 1.4 THEN 25 * ((1.4 - d) * (1.4 - d)) + 2 ELSE 0 END) * 1e9, 0) AS BIGINT) - q ORDER BY a DESC) AS costs
+  FROM sc GROUP BY clip_id, j),
+f(clip_id, j, hist, k) AS (SELECT DISTINCT clip_id, -1, [CAST(0 AS BIGINT)], CAST(0 AS BIGINT) FROM cw
+  UNION ALL SELECT clip_id, j, list_prepend(list_min(t), hist)[1:256], CAST(list_position(t, list_min(t)) AS BIGINT)
+    FROM (SELECT f.clip_id, c.j, f.hist, list_transform(range(1, len(c.costs) + 1), lambda x: c.costs[x] + f.hist[x]) AS t FROM f JOIN cand c ON c.clip_id = f.clip_id AND c.j = f.j + 1)),
+g(clip_id, e, k) AS (SELECT f.clip_id, f.j, f.k FROM f JOIN cw ON cw.clip_id = f.clip_id AND cw.i = f.j AND cw.final
+  UNION ALL SELECT f.clip_id, f.j, f.k FROM g JOIN f ON f.clip_id = g.clip_id AND f.j = g.e - g.k AND f.j >= 0),
+sh AS (SELECT g.clip_id, g.e - g.k + 1 AS first_i, g.e AS last_i, a.start_us, b.end_us FROM g JOIN cw a ON a.clip_id = g.clip_id AND a.i = g.e - g.k + 1 JOIN cw b ON b.clip_id = g.clip_id AND b.i = g.e),
+ft AS (SELECT clip_id, max(first_i) AS upto FROM (SELECT *, max(end_us) OVER (PARTITION BY clip_id) AS fin FROM sh) WHERE fin - start_us >= 1000000 OR first_i = 0 GROUP BY clip_id),
+fo AS (SELECT clip_id, least(first_i, upto) AS first_i, max(last_i) AS last_i, min(start_us) AS s, max(end_us) AS e FROM sh JOIN ft USING (clip_id) GROUP BY clip_id, least(first_i, upto))
+SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY first_i) - 1 AS shot_ord, first_i, last_i, CASE WHEN first_i = 0 THEN 0 ELSE s END AS start_us,
+  coalesce(lead(s) OVER (PARTITION BY clip_id ORDER BY first_i), e) AS end_us FROM fo""")
 def shot_split(c):
     return S.split_shots(c.words)
 
