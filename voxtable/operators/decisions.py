@@ -12,7 +12,7 @@ from ..functions import fixed
 from ..functions.intervals import overlap_join, points_in
 from ..functions.seq import fresh, neighbours, numbered, running, spaced
 from ..functions.stage import spread, stage
-from . import automaton
+from . import automaton, rounds
 from .paths import path
 
 CAMERAS = fixed.MENUS["camera"]
@@ -113,65 +113,35 @@ def title_copy(raw: DataFrame) -> DataFrame:
 
 
 # ---- overlays: cards, pills and large words ------------------------------------------------------
-def best_first(cands: DataFrame, gap: int) -> DataFrame:
+def best_first(cands: DataFrame, gap: int, span: int = rounds.SPAN) -> DataFrame:
     """Greedy by falling ``p`` (then unit): chosen rows lie at least ``gap`` from every better chosen one.
 
-    cands (clip_id, unit, start_us, p). Candidates cannot influence each other across an empty stretch of
-    ``gap``, so each stretch between such breaks is settled on its own."""
-    r = running(cands, "start_us", {"__pt": ("last", "start_us")}, size=600_000_000, exclusive=True)
-    r = r.withColumn("__new", F.when(F.col("start_us") - F.col("__pt") < gap, 0).otherwise(1).cast("bigint")).drop("__pt")
-    r = running(r, "start_us", {"isle": ("sum", "__new")}, size=600_000_000)
-    g = r.groupBy("clip_id", "isle").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("np"), "unit", "start_us"))).alias("c"))
-    pick = F.expr(f"aggregate(c, slice(c, 1, 0), (kept, x) -> IF(exists(kept, k -> abs(k.start_us - x.start_us) < {gap}), kept, concat(kept, array(x))))")
-    return g.select("clip_id", F.explode(pick).alias("x")).select("clip_id", "x.unit", "x.start_us", (-F.col("x.np")).alias("p"))
+    cands (clip_id, unit, start_us, p)."""
+    rows = cands.select("clip_id", "unit", "start_us", F.col("start_us").alias("end_us"), (-F.col("p")).alias("better"), F.lit(rounds.OPEN).alias("fate"))
+    return rounds.settle(rows, gap, rounds.apart(gap), span).filter(f"fate = {rounds.YES}").select("clip_id", "unit", "start_us", (-F.col("better")).alias("p"))
 
 
-def _thin_cards(shots: DataFrame, room: DataFrame, cap: float, max_dead_us: int) -> DataFrame:
+def _thin_cards(shots: DataFrame, room: DataFrame, cap: float, max_dead_us: int, span: int) -> DataFrame:
     """Units whose card is dropped: least wanted first while cards cover more than ``cap`` of the time, never
     opening a bare stretch over the limit. shots (clip_id, unit, start_us, end_us, now, graphic), contiguous.
 
-    Losing a card only lengthens bare stretches, so each card is considered once, in order. Cards that may
-    not go from the start, and large words, separate stretches that are settled on their own; the coverage
-    limit then keeps a prefix of all drops in order."""
+    Losing a card only lengthens bare stretches, so each card is considered once, in order, whatever the coverage;
+    the coverage limit then keeps a prefix of all drops in order."""
     card, bare = F.col("now").isin("card", "keyword_pill"), F.col("now") == "none"
     dur = F.col("end_us") - F.col("start_us")
     total = shots.groupBy("clip_id").agg(F.sum(F.when(card, dur)).alias("shown"), F.min("start_us").alias("lo"), F.max("end_us").alias("hi"))
-    total = total.join(fresh(room), "clip_id").filter(F.col("shown") / F.col("room") > cap)
-    s = shots.join(fresh(total), "clip_id").withColumn("bare", bare).withColumn("card", card)
-    s = stage(s, "crowded_shots")
-    r = running(s, "unit", {"__a": ("last", F.when(~F.col("bare"), F.col("end_us")))}, exclusive=True)
-    r = running(stage(r, "crowded_left"), "unit", {"__b": ("last", F.when(~F.col("bare"), F.col("start_us")))}, exclusive=True, reverse=True)
-    stuck = ~F.col("bare") & (~F.col("card") | (F.coalesce("__b", "hi") - F.coalesce("__a", "lo") > max_dead_us))
-    r = stage(r.withColumn("stuck", stuck).drop("__a", "__b"), "crowded_runs")
-    r = running(r.withColumn("__n", F.col("stuck").cast("bigint")), "unit", {"isle": ("sum", "__n")}).filter("NOT stuck")
-    r = r.select("clip_id", "isle", "unit", "start_us", "end_us", "bare", "graphic")
-    some = r.groupBy("clip_id", "isle").agg(F.bool_or(~F.col("bare")).alias("any")).filter("any").drop("any")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("unit")
-        start, end, bare_, graphic = (pdf[c].to_numpy().copy() for c in ("start_us", "end_us", "bare", "graphic"))
-        gone = []
-        for i in sorted(np.flatnonzero(~bare_), key=lambda i: (graphic[i], i)):
-            a = b = i
-            while a > 0 and bare_[a - 1]:
-                a -= 1
-            while b + 1 < len(bare_) and bare_[b + 1]:
-                b += 1
-            if end[b] - start[a] <= max_dead_us:
-                bare_[i] = True
-                gone.append(i)
-        return pdf.iloc[gone][["clip_id", "unit", "graphic", "start_us", "end_us"]]
-
-    r = stage(r, "crowded_stretches")
-    gone = spread(r.join(fresh(some), ["clip_id", "isle"], "left_semi"), "clip_id", "isle").groupBy("clip_id", "isle").applyInPandas(
-        settle, "clip_id bigint, unit bigint, graphic double, start_us bigint, end_us bigint")
-    order = running(stage(gone, "card_drops"), "graphic", {"before": ("sum", "end_us - start_us")}, size=0.001, exclusive=True, order=["graphic", "unit"])
+    total = stage(total.join(fresh(room), "clip_id").filter(F.col("shown") / F.col("room") > cap), "crowded")
+    rows = shots.join(fresh(total), "clip_id").select(
+        "clip_id", "unit", "start_us", "end_us", F.col("graphic").alias("better"), F.when(card, rounds.OPEN).otherwise(rounds.NO).alias("fate"),
+        bare.alias("bare"), (~bare & ~card).alias("fixed"), (F.col("start_us") == F.col("lo")).alias("first"), (F.col("end_us") == F.col("hi")).alias("last"))
+    gone = rounds.settle(rows, max_dead_us, rounds.thinned(max_dead_us), span).filter(f"fate = {rounds.YES}").withColumnRenamed("better", "graphic")
+    order = running(gone.select("clip_id", "unit", "graphic", "start_us", "end_us"), "graphic", {"before": ("sum", "end_us - start_us")}, size=0.001, exclusive=True, order=["graphic", "unit"])
     return order.join(fresh(total.select("clip_id", "shown", "room")), "clip_id").filter((F.col("shown") - F.col("before")) / F.col("room") > cap) \
         .select("clip_id", "unit")
 
 
 def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: float = fixed.COVERAGE_CAP,
-                  max_dead_us: int = fixed.DEAD_RUN_US, allow_giants: bool = True) -> DataFrame:
+                  max_dead_us: int = fixed.DEAD_RUN_US, allow_giants: bool = True, span: int = rounds.SPAN) -> DataFrame:
     """shots (clip_id, unit, start_us, end_us, overlay, graphic, p_none..p_giant, giant_word) ->
     (clip_id, unit, overlay, giant, log): the opening stays bare, large words are spaced, cards are thinned.
 
@@ -184,7 +154,7 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
          .withColumn("ok", F.col("late") & F.col("giant_word").isNotNull() & F.lit(allow_giants)).withColumn("asked", F.col("now") == "giant_word")
     d = stage(d, "overlay_shots")
     cand = lambda f: f.select("clip_id", "unit", "start_us", F.col("p_giant").alias("p"))
-    first = stage(best_first(cand(d.filter("asked AND ok")), gap), "asked_giants")
+    first = best_first(cand(d.filter("asked AND ok")), gap, span)
     # large words added to clips that run long without one
     need = d.groupBy("clip_id").agg(F.max(F.floor((F.col("duration_us") - F.col("hook_end_us")) / fixed.GIANT_EVERY_US)).alias("wanted")) \
         .join(fresh(first.groupBy("clip_id").agg(F.count("*").alias("have"))), "clip_id", "left")
@@ -192,7 +162,7 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
     zone = first.select("clip_id", (F.col("start_us") - gap + 1).alias("z0"), (F.col("start_us") + gap - 1).alias("z1"))
     pts = cand(d.filter("ok")).join(fresh(need), "clip_id").drop("short").withColumn("t0", F.col("start_us")).withColumn("t1", F.col("start_us"))
     open_ = overlap_join(pts, fresh(zone), ("t0", "t1"), ("z0", "z1"), closed=True, how="left_anti").drop("t0", "t1")
-    more = numbered(stage(best_first(stage(open_, "open_giants"), gap), "more_giants"), "-p", "rank", size=0.001, order=[-F.col("p"), F.col("unit")])
+    more = numbered(stage(best_first(open_, gap, span), "more_giants"), "-p", "rank", size=0.001, order=[-F.col("p"), F.col("unit")])
     more = more.join(fresh(need), "clip_id").filter("rank < short").select("clip_id", "unit")
     # an asked word without a plain spelling is too close only to better ones that were kept
     mute = d.filter("asked AND late AND giant_word IS NULL").select("clip_id", "unit", F.col("p_giant").alias("p"), F.col("start_us").alias("m0"), F.col("start_us").alias("m1"))
@@ -211,7 +181,7 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
     j = j.withColumn("now", F.when(F.col("added").isNotNull(), "giant_word").otherwise(F.col("mid")))
     j = stage(j, "overlay_words")
     room = j.groupBy("clip_id").agg(F.max(F.greatest(F.lit(1_000_000), F.col("duration_us") - F.col("hook_end_us"))).alias("room"))
-    gone = _thin_cards(j.select("clip_id", "unit", "start_us", "end_us", "now", "graphic"), room, cap, max_dead_us)
+    gone = _thin_cards(j.select("clip_id", "unit", "start_us", "end_us", "now", "graphic"), room, cap, max_dead_us, span)
     j = j.join(flag(gone, "gone"), ["clip_id", "unit"], "left")
     arrow = lambda rule, a, b: F.concat(rule, F.lit(": "), a, F.lit(" -> "), b)
     log = F.array_compact(F.array(
