@@ -28,7 +28,7 @@ from pyspark.taskcontext import TaskContext
 from voxtable.functions.stage import stage
 
 from .common import table
-from .tokens import PLAIN, buffers, pieces, range_hash
+from .tokens import PIECE, PLAIN, buffers, pieces, range_hash
 
 BIN, END = 1024, 2
 #: Units whose ids a task remembers.
@@ -107,12 +107,51 @@ class Encoder:
         return ids, total[np.searchsorted(cuts, edges)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder of a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _stretches(part: np.ndarray, size: int) -> list[int]:
+    """Edges of stretches of a long text that end behind a word, of about so many bytes each."""
+    edges, at = [0], 0
+    while len(part) - at > size:
+        lo = at + size
+        while lo < len(part):
+            gap = _GAP[part[lo - 1:lo + size]]
+            ends = np.flatnonzero(~gap[:-1] & gap[1:])
+            if len(ends):
+                break
+            lo += size
+        if lo >= len(part):
+            break
+        at = lo + int(ends[0])
+        edges.append(at)
+    return [*edges, len(part)]
+
+
+def _long(encoder: Encoder, part: np.ndarray) -> np.ndarray:
+    """Ids of one long text, stretch by stretch; white space begins a new pre-token, so ids do not span a stretch's end."""
+    edges = _stretches(part, PIECE)
+    return np.concatenate([encoder.encode(part, np.array(e, np.int64))[0] for e in zip(edges[:-1], edges[1:])])
+
+
 def encode_texts(encoder: Encoder, column: pa.Array) -> Iterator[np.ndarray]:
     """The ids of each text of a string column."""
     data, offsets = buffers(column)
     for rows in pieces(offsets):
         edges = offsets[rows.start:rows.stop + 1]
-        ids, at = encoder.encode(data, edges)
+        if len(edges) == 2 and edges[1] - edges[0] > PIECE:
+            ids = _long(encoder, data[edges[0]:edges[1]])
+            at = np.array([0, len(ids)])
+        else:
+            ids, at = encoder.encode(data, edges)
         part = data[edges[0]:edges[-1]]
         # Only bytes from 0x1C on can begin odd white space; plain ASCII text has none.
         odd = bool(((part >= 0x1C) & (part < 0x20) | (part == 0xC2) | (part >= 0xE1) & (part <= 0xE3)).any())
@@ -127,7 +166,7 @@ def encode_texts(encoder: Encoder, column: pa.Array) -> Iterator[np.ndarray]:
 
 def _cutter(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(path), TaskContext.get().partitionId()
         used = np.zeros(size + 1, np.int64)
         for batch in batches:
             rows, out = [], []

@@ -1,7 +1,8 @@
 """Personal data in texts, and terms that give it away, with DataFrame and SQL functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers; numbers that a longer run of digits
-swallows are added. The method adds terms: words that go with an identifier, from which it could be guessed. A term t
+swallows are added, and so are secrets (a value that looks drawn, behind a name such as token or password, and keys of known
+make). The method adds terms: words that go with an identifier, from which it could be guessed. A term t
 discloses an identifier e if at least SUPPORT different texts hold both (or t stands within REACH characters of e in as many
 different windows, be it in one document) and if, of all documents of the corpus that hold t, at least a share of
 DISCLOSURE hold e anywhere in their text; seeing t then narrows the identifier down by log2(P(e | t) / P(e)) bits, of
@@ -16,8 +17,8 @@ one, and the places of words are listed in these alone. No group is gathered exc
 use possessive loops and look behind, so that matching takes linear time and no deep stack on texts without white space;
 they match what the plain patterns match.
 
-Null or empty text: no spans. Repeated doc_ids get the terms of either row (ids are expected to be unique). Null doc_ids:
-base spans only. Other columns are kept by ``sanitise`` and not read. An empty table gives no rows."""
+Null or empty text: no spans. Rows of one doc_id with different texts each get the spans of their own text; in counts of
+documents they are one row each. Null doc_ids: base spans, swallowed numbers and secrets only. Other columns are kept by ``sanitise`` and not read. An empty table gives no rows."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +28,7 @@ from voxtable.functions.stage import stage
 from .common import BROADCAST_IDS, only, table, without
 
 REACH, SUPPORT, DISCLOSURE, CERTAIN, BITS = 100, 2, 0.5, 0.9, 6.0
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
 
 #: From a run's first character, or from where the last match ended.
 _EMAIL = r"[A-Za-z0-9._%+-](?:(?<![A-Za-z0-9._%+-]{2})|(?<=\G[A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -38,6 +39,11 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Cards in their usual groups and phone numbers of few groups, which the wider patterns swallow where more digits follow.
 _OWN_CARD = r"[0-9](?<![0-9]{2})(?:[0-9]{13,18}|[0-9]{3}(?:[ -][0-9]{4}){3})(?![0-9])"
 _OWN_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,3}(?![0-9])"
+#: A named value of 16 characters or more with a digit in it, and keys that tell themselves by their first characters.
+_SECRET = (r"(?:(?i:tokens?|secrets?|passwords?|passwd|credentials?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|secret[_-]?access[_-]?key)[\x22']?[ \t]*+[:=][ \t]*+[\x22']?(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{16,}+=*+[\x22']?"
+           r"|\b(?:sk-|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_-]{16,}+|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)")
+#: Of these one is in every text that holds a secret.
+_SECRET_SIGNS = ("=", ":", "sk-", "AKIA", "ASIA", "gh", "xox", "AIza", "glpat-", "eyJ")
 _WORD = r"[^\p{L}\p{N}]+"
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -77,9 +83,10 @@ def base_spans(text: str) -> Column:
 
 
 def swallowed_spans(text: str, base: str) -> Column:
-    """Cards and phone numbers within longer runs of digits, apart from the base spans."""
+    """Cards and phone numbers within longer runs of digits, and secrets, apart from the base spans."""
     t = f"coalesce({text}, '')"
-    kinds = [_found(t, 2, _OWN_CARD, _GOOD_CARD, "true"), _found(t, 3, _OWN_PHONE, _GOOD_PHONE, f"contains({t}, '+')")]
+    signs = " or ".join(f"contains({t}, '{x}')" for x in _SECRET_SIGNS)
+    kinds = [_found(t, 2, _OWN_CARD, _GOOD_CARD, "true"), _found(t, 3, _OWN_PHONE, _GOOD_PHONE, f"contains({t}, '+')"), _found(t, 5, _SECRET, "true", f"({signs})")]
     return F.filter(F.array_sort(F.concat(*kinds)), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
@@ -130,24 +137,24 @@ def disclosing_terms(windows: DataFrame, docs: DataFrame, text: str = "text") ->
 
 
 def find_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, base, added): arrays of (start, kind, end, value), sorted; a term's value is '' if it is to be removed.
-    Added are swallowed numbers and disclosing terms."""
-    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, same, base, added): arrays of (start, kind, end, value), sorted; a term's value is '' if it is to be removed.
+    Added are swallowed numbers, secrets and disclosing terms; same is a hash of the text, which tells rows of one doc_id apart."""
+    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("same", F.xxhash64("text"))
     around = F.expr(f"""transform(spans, s -> named_struct('entity', lower(s.value), 'at', greatest(s.start - {REACH}, 0) - if(s.start > {REACH}, 1, 0),
         'window', concat(if(s.start > {REACH}, 'x', ''), substring(text, greatest(s.start - {REACH}, 0) + 1, s.end - greatest(s.start - {REACH}, 0) + {REACH}), if(s.end + {REACH} < char_length(text), 'x', ''))))""")
-    base = stage(plain.withColumn("spans", base_spans("text")).withColumn("swallowed", swallowed_spans("text", "spans")).withColumn("around", around).select("doc_id", "spans", "swallowed", "around"), "base")
+    base = stage(plain.withColumn("spans", base_spans("text")).withColumn("swallowed", swallowed_spans("text", "spans")).withColumn("around", around).select("doc_id", "same", "spans", "swallowed", "around"), "base")
     windows = _windows(base.where("doc_id is not null"))
     giving = stage(disclosing_terms(windows, plain).groupBy("term").agg(F.max("share").alias("share")), "giving")
     few = giving.count() <= BROADCAST_IDS
     named = plain.where("doc_id is not null")
     hits = stage(only(_held(named, "text", "doc_id"), giving.select("term"), "term").select("doc_id").distinct(), "hits")
     placed = F.expr(_matches("text", r"'[\\p{L}\\p{N}]++'", 4, "0", "lower(translate(x.b, '\u0130', 'i'))"))
-    words = only(named, hits, "doc_id").select("doc_id", F.explode(placed).alias("s")).select("doc_id", "s", F.col("s.value").alias("term"))
+    words = only(named, hits, "doc_id").select("doc_id", "same", F.explode(placed).alias("s")).select("doc_id", "same", "s", F.col("s.value").alias("term"))
     words = words.join(F.broadcast(giving) if few else giving, "term")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.when(F.col("share") >= CERTAIN, "").otherwise(F.col("term")).alias("value"))
-    spans = stage(words.groupBy("doc_id").agg(F.collect_set(span).alias("terms")), "term-spans")
+    spans = stage(words.groupBy("doc_id", "same").agg(F.collect_set(span).alias("terms")), "term-spans")
     free = F.expr("filter(coalesce(terms, array()), t -> not exists(concat(spans, swallowed), b -> b.start < t.end and t.start < b.end))")
-    return base.select("doc_id", "spans", "swallowed").join(spans, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("swallowed", free)).alias("added"))
+    return base.select("doc_id", "same", "spans", "swallowed").join(spans, ["doc_id", "same"], "left").select("doc_id", "same", F.col("spans").alias("base"), F.array_sort(F.concat("swallowed", free)).alias("added"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -169,13 +176,14 @@ def _replaced(text: str, spans: str) -> Column:
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with identifiers replaced by their kind in brackets and disclosing terms generalised or removed. Spans that
     touch are replaced as one, by the first one's kind. Texts without spans stay as they are."""
-    found = stage(find_spans(docs, doc_id, text).where("size(base) + size(added) > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.array_sort(F.concat("base", "added")).alias("__spans")), "spans")
+    found = find_spans(docs, doc_id, text).where("size(base) + size(added) > 0 and doc_id is not null").dropDuplicates(["doc_id", "same"])
+    found = stage(found.select(F.col("doc_id").alias("__id"), F.col("same").alias("__same"), F.array_sort(F.concat("base", "added")).alias("__spans")), "spans")
     # Only texts that hold some span are joined (and shuffled); the others pass.
-    ids = stage(found.select("__id"), "span-ids")
-    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint"))
+    ids = stage(found.select("__id").distinct(), "span-ids")
+    plain = docs.withColumn("__id", F.col(doc_id).cast("bigint")).withColumn("__same", F.xxhash64(text))
     rest = without(plain.where("__id is not null"), ids, "__id").select(*docs.columns)
-    bare = plain.where("__id is null").withColumn("__spans", base_spans(f"`{text}`"))
-    plain = only(plain, ids, "__id").join(found, "__id").select(*bare.columns).unionAll(bare).withColumn(text, _replaced(f"`{text}`", "__spans"))
+    bare = plain.where("__id is null").withColumn("__spans", base_spans(f"`{text}`")).withColumn("__spans", F.array_sort(F.concat("__spans", swallowed_spans(f"`{text}`", "__spans"))))
+    plain = only(plain, ids, "__id").join(found, ["__id", "__same"], "left").select(*bare.columns).unionAll(bare).withColumn(text, _replaced(f"`{text}`", "__spans"))
     # What a dropped match had kept from matching may match now.
     for _ in range(2):
         plain = plain.withColumn("__spans", F.when(F.col("__spans").isNotNull(), base_spans(f"`{text}`"))).withColumn(text, _replaced(f"`{text}`", "__spans"))

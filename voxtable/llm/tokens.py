@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer text is one piece by itself.
-PIECE = 1 << 21
+#: Bytes of text handled at once; a longer text is one piece by itself. Scratch arrays hold some numbers per byte of a piece,
+#: and a worker keeps its memory for the stages that follow.
+PIECE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GAPS = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], dtype=np.uint8)
@@ -34,14 +35,19 @@ _POWER: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if len(_POWER.get("up", ())) < n:
-        size = max(n, PIECE + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _POWER[name] = np.cumprod(a)
-    return _POWER["up"], _POWER["down"]
+    """Powers of the base and of its inverse modulo 2**64, at least n of them. Those of a piece are kept."""
+    if "up" not in _POWER:
+        _POWER["up"], _POWER["down"] = _listed_powers(PIECE + 1)
+    return (_POWER["up"], _POWER["down"]) if n <= PIECE + 1 else _listed_powers(n)
+
+
+def _listed_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        a = np.full(n, base, dtype=np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a))
+    return tuple(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,7 +60,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges."""
+    """Hashes of byte ranges, which come by rising start. A hash depends on the range's bytes alone, so long data are handled in
+    stretches of whole ranges."""
+    if len(data) > PIECE and len(start) > 1:
+        out, i = np.zeros(len(start), np.uint64), 0
+        while i < len(start):
+            lo = int(start[i])
+            j = max(i + 1, int(np.searchsorted(start, lo + PIECE // 2)))
+            wide = np.flatnonzero(end[i:j] - lo > PIECE)
+            j = max(i + 1, i + int(wide[0])) if len(wide) else j
+            out[i:j] = range_hash(data[lo:int(end[i:j].max())], start[i:j] - lo, end[i:j] - lo, codes)
+            i = j
+        return out
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(codes[data] * up[:len(data)], out=sums[1:])
@@ -81,11 +98,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type):
-        column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=wide)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     return data, offsets
