@@ -138,45 +138,6 @@ def test_aligned_runs_against_a_walk(words):
         assert set(got) - set(want) <= {(0, j) for j in range(90)}
 
 
-def test_word_diff(words):
-    w = lambda s: words(*[(x, k * .3, k * .3 + .2) for k, x in enumerate(s.split())])
-    for heard, want in (("a c d", (1, 0)), ("a b x c d", (0, 1)), ("a q c d", (1, 1))):
-        r = V.word_diff(w("a b c d"), w(heard)).collect()[0]
-        assert (r.missing, r.extra) == want
-
-
-def test_word_diff_pieces_equal_one_walk(words):
-    r = random.Random(11)
-    pairs = []
-    for clip, vocabulary in ((1, 5000), (2, 5000), (3, 12)):
-        cap = [f"w{r.randrange(vocabulary)}" for _ in range(900)]
-        heard = [x if r.random() > .05 else "other" for x in cap if r.random() > .05]
-        if clip == 2:
-            heard[300:300] = heard[100:140]
-        pairs.append((clip, cap, heard))
-    make = lambda k: [(c, i, t, 0, 0) for c, *xs in pairs for i, t in enumerate(xs[k])]
-    spark = words(("a", 0, 1)).sparkSession
-    table = lambda k: spark.createDataFrame(make(k), "clip_id bigint, i int, text string, start_us bigint, end_us bigint")
-    got = {x.clip_id: (x.missing, x.extra) for x in V.word_diff(table(0), table(1)).collect()}
-    assert got == {c: V._walk(a, b, len(a), len(b), True)[:2] for c, a, b in pairs}
-
-
-def test_drift(words):
-    w = lambda s: words(*[(x, k * .3, k * .3 + .2) for k, x in enumerate(s.split())])
-    got = [r.kind for r in V.transcript_drift(w("a b c d"), w("a c d e")).orderBy("at_us").collect()]
-    assert got == ["caption_not_heard", "heard_not_captioned"]
-
-
-def test_drift_pieces_equal_one_alignment(words):
-    r = random.Random(9)
-    cap = [f"w{r.randrange(400)}" for _ in range(700)]
-    heard = [x for x in cap if r.random() > .05]
-    w = lambda xs: words(*[(x, k * .3, k * .3 + .2) for k, x in enumerate(xs)])
-    got = sorted((x.kind, x.at_us, x.caption, x.heard) for x in V.transcript_drift(w(cap), w(heard)).collect())
-    frame = lambda xs: pd.DataFrame({"t": xs, "text": xs, "start_us": [round(k * .3 * 1e6) for k in range(len(xs))]})
-    assert got == sorted(V._drift(frame(cap), frame(heard)))
-
-
 def test_pause_log(rows):
     lines = rows("clip_id bigint, line_no bigint, line string", *[(1, k, x) for k, x in enumerate((
         "silence_start: 0", "silence_end: 0.4 | d", "silence_start: 5.2", "silence_end: 5.7", "silence_start: 9.8", "silence_end: 10"))])

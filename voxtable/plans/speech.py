@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import segments as S, verify as V
+from ..operators import alignment as A, segments as S, verify as V
 from .oracle_tables import sql_list as L, table
 from .registry import query
 
@@ -247,12 +247,23 @@ def heard(c):
 
 @query("transcript_drift")
 def transcript_drift(c):
-    return V.transcript_drift(c.words, heard(c))
+    return A.transcript_drift(c.words, heard(c))
 
 
-@query("heard_word_diff")
+NORM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query("heard_word_diff", f"""
+WITH RECURSIVE hx AS (SELECT clip_id, i, {NORM.format('text')} AS t, {NORM.format("CASE WHEN i % 41 = 7 THEN text || 'x' ELSE text END")} AS t2 FROM words),
+ls AS MATERIALIZED (SELECT clip_id, list(t ORDER BY i) AS x, coalesce(list(t2 ORDER BY i) FILTER (i % 37 <> 5), CAST([] AS VARCHAR[])) AS y FROM hx GROUP BY clip_id),
+f(clip_id, a, b, missing, extra) AS (SELECT clip_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ls
+  UNION ALL SELECT clip_id, a + CASE WHEN same THEN 1 WHEN d IS NULL THEN 1 WHEN d % 2 = 0 THEN 0 ELSE d // 2 END, b + CASE WHEN same THEN 1 WHEN d IS NULL THEN 1 WHEN d % 2 = 0 THEN d // 2 ELSE 0 END,
+    missing + CASE WHEN same THEN 0 WHEN d IS NULL THEN 1 WHEN d % 2 = 1 THEN d // 2 ELSE 0 END, extra + CASE WHEN same THEN 0 WHEN d IS NULL THEN 1 WHEN d % 2 = 0 THEN d // 2 ELSE 0 END
+  FROM (SELECT f.*, x[a + 1] = y[b + 1] AS same, list_min([CASE WHEN x[a + 1] = y[b + 2] THEN 2 END, CASE WHEN x[a + 2] = y[b + 1] THEN 3 END, CASE WHEN x[a + 1] = y[b + 3] THEN 4 END,
+    CASE WHEN x[a + 3] = y[b + 1] THEN 5 END, CASE WHEN x[a + 1] = y[b + 4] THEN 6 END, CASE WHEN x[a + 4] = y[b + 1] THEN 7 END]) AS d FROM f JOIN ls USING (clip_id) WHERE a < len(x) AND b < len(y)))
+SELECT clip_id, missing + len(x) - a AS missing, extra + len(y) - b AS extra, len(y) > 0 AND len(y) >= len(x) * 0.6 AS accepted FROM f JOIN ls USING (clip_id) WHERE a = len(x) OR b = len(y)""")
 def heard_word_diff(c):
-    return V.word_diff(c.words, heard(c))
+    return A.word_diff(c.words, heard(c))
 
 
 @query("inner_pauses", """SELECT s.clip_id, s.start_us, s.end_us FROM silences s JOIN clips c USING (clip_id)
