@@ -9,10 +9,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = "voxtable.stage.root"
+_BATCH, _BATCH_SIZE = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,8 +50,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Rows go to Python in batches of a few MB, since batches are bounded by rows otherwise, and texts can be long."""
+    known = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, _BATCH_SIZE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, known)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes the table once as Parquet and reads it back."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -245,7 +245,30 @@ def heard(c):
     return numbered(h.withColumnRenamed("i", "src_i"), "src_i", "i")
 
 
-@query("transcript_drift")
+# the longest common subsequence row by row, each from the row below by the next place of the word on the other side
+SURFACE = "regexp_replace(replace(replace(lower({}), '‘', ''''), '’', ''''), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+OTHER = "CASE WHEN i % 41 = 7 THEN text || 'x' ELSE text END"
+table("dcap", f"SELECT clip_id, i, text, start_us, {SURFACE.format('text')} AS t FROM words")
+table("dhrd", f"SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS j, {OTHER} AS text, start_us, {SURFACE.format(OTHER)} AS t FROM words WHERE i % 37 <> 5")
+table("dlst", """SELECT clip_id, n, coalesce(m, 0) AS m, x, coalesce(y, CAST([] AS VARCHAR[])) AS y FROM (SELECT clip_id, count(*) AS n, list(t ORDER BY i) AS x FROM dcap GROUP BY clip_id)
+  LEFT JOIN (SELECT clip_id, count(*) AS m, list(t ORDER BY j) AS y FROM dhrd GROUP BY clip_id) USING (clip_id)""")
+table("dpos", "SELECT c.clip_id, c.i, list(h.j ORDER BY h.j) FILTER (h.j IS NOT NULL) AS p FROM dcap c LEFT JOIN dhrd h ON h.clip_id = c.clip_id AND h.t = c.t GROUP BY c.clip_id, c.i")
+table("drow", """SELECT clip_id, n AS i, list_transform(range(0, m + 1), lambda k: CAST(0 AS BIGINT)) AS below FROM dlst
+  UNION ALL SELECT r.clip_id, r.i - 1, CASE WHEN q.p IS NULL THEN r.below ELSE list_transform(range(1, len(r.below) + 1), lambda k: greatest(r.below[k], coalesce(r.below[list_filter(q.p, lambda z: z >= k)[1] + 1] + 1, 0))) END
+  FROM drow r JOIN dpos q ON q.clip_id = r.clip_id AND q.i = r.i - 1""")
+table("dtwo", "SELECT a.clip_id, a.i, a.below AS here, b.below FROM drow a JOIN drow b ON b.clip_id = a.clip_id AND b.i = a.i + 1")
+table("dwalk", """SELECT clip_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(NULL AS BOOLEAN) AS hit FROM dlst
+  UNION ALL SELECT w.clip_id, w.i + CASE WHEN l.x[w.i + 1] = l.y[w.j + 1] OR t.below[w.j + 1] = t.here[w.j + 1] THEN 1 ELSE 0 END,
+    w.j + CASE WHEN l.x[w.i + 1] = l.y[w.j + 1] OR t.below[w.j + 1] <> t.here[w.j + 1] THEN 1 ELSE 0 END, l.x[w.i + 1] = l.y[w.j + 1]
+  FROM dwalk w JOIN dlst l USING (clip_id) JOIN dtwo t ON t.clip_id = w.clip_id AND t.i = w.i WHERE w.i < l.n AND w.j < l.m""")
+table("dmark", "SELECT clip_id, i - 1 AS ca, j - 1 AS cb FROM dwalk WHERE hit UNION ALL SELECT clip_id, -1, -1 FROM dlst UNION ALL SELECT clip_id, n, m FROM dlst")
+table("dgap", "SELECT * FROM (SELECT clip_id, ca, cb, lead(ca) OVER (PARTITION BY clip_id ORDER BY ca) AS na, lead(cb) OVER (PARTITION BY clip_id ORDER BY ca) AS nb FROM dmark) WHERE na - ca > 1 OR nb - cb > 1")
+table("drift", """SELECT g.clip_id, CASE WHEN b IS NULL THEN 'caption_not_heard' WHEN a IS NULL THEN 'heard_not_captioned' ELSE 'differs' END AS kind, coalesce(bs, as_us) AS at_us, coalesce(a, '') AS caption, coalesce(b, '') AS heard FROM dgap g
+  LEFT JOIN (SELECT g.clip_id, g.ca, string_agg(c.text, ' ' ORDER BY c.i) AS a, min(c.start_us) AS as_us FROM dgap g JOIN dcap c ON c.clip_id = g.clip_id AND c.i > g.ca AND c.i < g.na GROUP BY ALL) x USING (clip_id, ca)
+  LEFT JOIN (SELECT g.clip_id, g.ca, string_agg(h.text, ' ' ORDER BY h.j) AS b, min(h.start_us) AS bs FROM dgap g JOIN dhrd h ON h.clip_id = g.clip_id AND h.j - 1 > g.cb AND h.j - 1 < g.nb GROUP BY ALL) y USING (clip_id, ca)""")
+
+
+@query("transcript_drift", "WITH RECURSIVE d AS (SELECT * FROM drift) SELECT * FROM d")
 def transcript_drift(c):
     return A.transcript_drift(c.words, heard(c))
 
@@ -283,8 +306,8 @@ def loudness(c):
 
 
 @query("verify_report", """
-WITH rep AS (SELECT clip_id, count(*) AS n FROM (SELECT clip_id FROM restated UNION ALL SELECT clip_id FROM again) GROUP BY clip_id),
-dr AS (SELECT clip_id, count(*) AS n FROM words WHERE i % 37 = 5 GROUP BY clip_id),
+WITH RECURSIVE rep AS (SELECT clip_id, count(*) AS n FROM (SELECT clip_id FROM restated UNION ALL SELECT clip_id FROM again) GROUP BY clip_id),
+dr AS (SELECT clip_id, count(*) AS n FROM drift GROUP BY clip_id),
 pa AS (SELECT s.clip_id, max(s.end_us - s.start_us) AS longest_us, count(*) FILTER (s.end_us - s.start_us > 350000) AS n_over
   FROM silences s JOIN clips c USING (clip_id) WHERE s.start_us > 100000 AND s.end_us < c.duration_us - 100000 GROUP BY s.clip_id),
 f AS (SELECT clip_id, 1 + CASE WHEN clip_id % 11 = 3 THEN 1 ELSE 0 END + CASE WHEN abs(-10.0 - clip_id % 9 + 14) > 2 THEN 1 ELSE 0 END AS n_format FROM clips)
@@ -296,4 +319,4 @@ def verify_report(c):
     t = V.topic_words(s)
     r = V.restated_sentences(s, t)
     found = r.select("clip_id").unionByName(V.repeated_phrases(c.words, t, r).select("clip_id"))
-    return V.verify_report(c.clips, found, c.words.filter("i % 37 = 5"), V.inner_pauses(c.silences, c.clips), loudness(c))
+    return V.verify_report(c.clips, found, A.transcript_drift(c.words, heard(c)), V.inner_pauses(c.silences, c.clips), loudness(c))
