@@ -61,9 +61,14 @@ def small_batches(spark: SparkSession):
         spark.conf.set(_BATCH, known)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the session's folder."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes the table once as Parquet and reads it back."""
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
+    path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

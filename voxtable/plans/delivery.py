@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..functions.stage import stage
+from ..functions.stage import new_path, stage
 from ..operators import cards as CA, clock as K, framing as FR, keep as P, proposals as PR, repeats as R, requests as RQ, segments as S
 from ..sources import answers as AN, files as FI, sinks as SK, speech as SP
 from ..streaming import live
@@ -311,12 +311,28 @@ def word_list_json(c):
     return FI.word_list(docs)
 
 
+def _through_files(c, lines):
+    """Lines written as one log file per clip and read back by byte ranges."""
+    return FI.read_lines(c.spark, FI.write_lines(lines, new_path(c.spark, "logs")), ("clip_id",)).drop("path")
+
+
+@query("word_files", "SELECT clip_id, CAST(i AS BIGINT) AS i, text, start_us, end_us FROM words")
+def word_files(c):
+    """Words written as one JSON array per clip and read back."""
+    word = F.to_json(F.struct("i", "text", (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end")))
+    n = c.words.groupBy("clip_id").agg(F.max("i").alias("last"))
+    w = c.words.join(n, "clip_id")
+    line = F.concat(F.when(F.col("i") == 0, "[").otherwise(","), word, F.when(F.col("i") == F.col("last"), "]").otherwise(""))
+    path = FI.write_lines(w.select("clip_id", F.col("i").alias("line_no"), line.alias("line")), new_path(c.spark, "words"))
+    return FI.read_words(c.spark, path, ("clip_id",)).drop("path")
+
+
 @query("level_log", """SELECT clip_id, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS BIGINT) AS frame, CASE WHEN frame % 11 = 0 OR frame % 13 = 0 THEN -90.0 ELSE greatest(-90.0, db - frame % 40) END AS db FROM levels WHERE frame % 7 <> 3""")
 def level_log(c):
     """Meter lines between other output, some of them -inf or unreadable."""
     v = F.when(F.col("frame") % 11 == 0, "-inf").when(F.col("frame") % 13 == 0, "nan").otherwise((F.col("db") - F.col("frame") % 40).cast("string"))
     line = F.when(F.col("frame") % 7 == 3, "frame: pts_time").otherwise(F.concat(F.lit("lavfi.astats.Overall.RMS_level="), v))
-    return SP.level_log(c.levels.select("clip_id", F.col("frame").cast("bigint").alias("line_no"), line.alias("line")))
+    return SP.level_log(_through_files(c, c.levels.select("clip_id", F.col("frame").cast("bigint").alias("line_no"), line.alias("line"))))
 
 
 table("sillog", """SELECT clip_id, start_us, end_us, row_number() OVER (PARTITION BY clip_id ORDER BY start_us) - 1 AS n, count(*) OVER (PARTITION BY clip_id) AS m FROM silences""")
@@ -335,12 +351,12 @@ def silence_lines(c):
 
 @query("silence_log", "SELECT s.clip_id, CASE WHEN n = 0 THEN 0 ELSE start_us END AS start_us, CASE WHEN n = m - 1 THEN duration_us ELSE least(end_us, duration_us) END AS end_us FROM sillog s JOIN clips USING (clip_id)")
 def silence_log(c):
-    return SP.silence_log(silence_lines(c), c.clips)
+    return SP.silence_log(_through_files(c, silence_lines(c)), c.clips)
 
 
 @query("pause_log", "SELECT s.clip_id, start_us, end_us FROM sillog s JOIN clips USING (clip_id) WHERE n > 0 AND n < m - 1 AND start_us > 100000 AND end_us < duration_us - 100000")
 def pause_log(c):
-    return SP.inner_pauses(silence_lines(c), c.clips)
+    return SP.inner_pauses(_through_files(c, silence_lines(c)), c.clips)
 
 
 def loud_texts(c):
