@@ -589,15 +589,24 @@ def timed_words(w):
     return w.select("clip_id", F.col("i").cast("bigint").alias("i"), "text", F.timestamp_micros("start_us").alias("ts"), (F.col("end_us") - F.col("start_us")).alias("dur_us"))
 
 
-@query("streamed_phrases", PHRASES + "SELECT * FROM r WHERE end_us + 499999 <= ((SELECT max(start_us) FROM words) // 1000 - 30000) * 1000")
+def _stream_of(table, name, files=4):
+    """A table as a stream of several files, rows dealt over them without order, one file at a time."""
+    path = new_path(table.sparkSession, name)
+    table.repartition(files).write.parquet(path)
+    return table.sparkSession.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def word_stream(c):
+    """Words and, per clip, a row that says where it ends."""
+    w = c.words.select("clip_id", F.col("i").cast("bigint").alias("i"), "start_us", "end_us")
+    none = F.lit(None).cast("bigint")
+    return _stream_of(w.unionByName(w.groupBy("clip_id").agg(F.count("*").alias("i")).select("clip_id", "i", none.alias("start_us"), none.alias("end_us"))), "word-stream")
+
+
+@query("streamed_phrases", PHRASES + "SELECT * FROM r")
 def streamed_phrases(c):
-    """Phrases of the word table read as a stream; those the watermark has passed are out."""
-    import uuid
-    from ..functions.stage import root
-    path = f"{root(c.spark)}/word-stream-{uuid.uuid4().hex[:8]}"
-    w = timed_words(c.words)
-    w.write.parquet(path)
-    return _sink(live.stream_phrases(c.spark.readStream.schema(w.schema).parquet(path)), "live-phrases")
+    """Phrases of the word table read as a stream in four parts without order."""
+    return _sink(live.clip_phrases(word_stream(c)), "live-phrases")
 
 
 @query("live_phrases", PHRASES + "SELECT * FROM r")
@@ -613,6 +622,18 @@ def event_stream(c):
     return _as_run_events(s)
 
 
+@query("streamed_stage_timings", "SELECT run_id, stage, epoch_us(ts) AS ts_us, epoch_us(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, stage)) - epoch_us(ts) AS dur_us FROM (SELECT user_id AS run_id, event_type AS stage, min(ts) AS ts FROM events GROUP BY ALL)")
+def streamed_stage_timings(c):
+    """The timings of runs whose events come in four parts without order; the delay covers the table, as parts span all of it."""
+    out = new_path(c.spark, "run-timings")
+
+    def write(batch, _):
+        batch.write.mode("append").parquet(f"{out}/rows")
+    q = live.run_timings(_stream_of(run_events(c), "event-stream"), delay="4000 days").writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return live.newest(c.spark.read.parquet(f"{out}/rows")).select("run_id", "stage", "ts_us", "dur_us")
+
+
 @query("stage_first_events", "SELECT user_id AS run_id, event_type AS stage, 1 AS n FROM events GROUP BY ALL")
 def stage_first_events(c):
     """Streaming dedupe by run and stage within a watermark longer than the table."""
