@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.intervals import overlap_join, points_in
 from ..functions.seq import fresh, neighbours, numbered, running, spaced
-from ..functions.stage import spread, stage
+from ..functions.stage import stage
 from . import automaton, rounds
 from .paths import path
 
@@ -365,44 +365,82 @@ def flash_times(beats: DataFrame, hook: DataFrame) -> DataFrame:
     return pick(changes, fixed.FLASH_GAP_US, fixed.FLASH_MAX).unionByName(pick(rest, fixed.FLASH_FALLBACK_US, fixed.FLASH_FALLBACK_MAX))
 
 
-def caption_sections(sections: DataFrame, lifts: DataFrame, global_style: DataFrame, totals: DataFrame) -> DataFrame:
-    """Caption style per section by lift: no repeat, half weight two back, at most four styles, first one global.
+class _StyleStates:
+    """States of the caption rule: the styles used so far, the last one and the one before. State 0 is before the first."""
 
-    sections (clip_id, sec, start_us, end_us, pick); lifts (clip_id, sec, label_ord, lift). Equal
-    neighbours are merged: (clip_id, k, start_us, end_us, style, n_changed)."""
+    def __init__(self, n: int, most: int):
+        keys = [(0, n, n)] + [(m, p, q) for m in range(1, 1 << n) for p in range(n) if m >> p & 1 for q in (*range(n), n) if q == n or m >> q & 1]
+        at = {k: i for i, k in enumerate(keys)}
+        self.last = np.array([p for _, p, _ in keys])
+        label = np.arange(n)
+        used = (np.array([m for m, _, _ in keys])[:, None] >> label & 1).astype(bool)
+        self.banned = (self.last[:, None] == label) | (used.sum(axis=1) >= most)[:, None] & ~used
+        self.weight = np.where(np.array([q for _, _, q in keys])[:, None] == label, 0.5, 1.0)
+        self.then = np.array([[at[m | 1 << x, x, p] for x in range(n)] for m, p, _ in keys])
+
+    def picks(self, lift: np.ndarray, own: int) -> np.ndarray:
+        """State after a section for every state before it. lift: nan for styles without an answer."""
+        score = np.where(self.banned | np.isnan(lift), -np.inf, lift * self.weight)
+        pick = np.where(np.isfinite(score).any(axis=1), score.argmax(axis=1), own)
+        return self.then[np.arange(len(pick)), pick]
+
+
+def caption_styles(sections: DataFrame, probs: DataFrame, global_style: DataFrame, size: int = 256) -> DataFrame:
+    """Caption style per section by lift over the clip's mean: no repeat, half weight two back, no new style beyond four, the first one
+    global; a section to which nothing is left keeps its own pick: (clip_id, sec, style, rule), rule null where it is the pick.
+
+    sections (clip_id, sec, pick), sec from 0; probs (clip_id, sec, label_ord, prob). A section without answers counts as sure of its
+    pick. The rule is a machine over (styles used, last two), so sections are solved in blocks."""
     labels = fixed.MENUS["caption_style"]
-    wide = lifts.groupBy("clip_id", "sec").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("label_ord", "lift"))), lambda x: x["lift"]).alias("lifts"))
-    d = sections.select("clip_id", "sec", "pick").join(fresh(wide), ["clip_id", "sec"]).join(fresh(global_style), "clip_id")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sec")
-        got: list[int] = []
-        for k, (lift, first, own) in enumerate(zip(pdf["lifts"], pdf["style"], pdf["pick"])):
-            if k == 0:
-                got.append(labels.index(first))
+    ordinal = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("pick")) - 1
+    s = sections.select("clip_id", "sec", ordinal.cast("bigint").alias("own"))
+    sure = s.join(fresh(probs.select("clip_id", "sec").distinct()), ["clip_id", "sec"], "left_anti").select("clip_id", "sec", F.col("own").alias("label_ord"), F.lit(1.0).alias("prob"))
+    p = stage(probs.select("clip_id", "sec", "label_ord", "prob").unionByName(sure), "style_probs")
+    n = sections.groupBy("clip_id").agg(F.count("*").alias("n"))
+    mean = p.groupBy("clip_id", "label_ord").agg(F.sum("prob").alias("s")).join(fresh(n), "clip_id").select("clip_id", "label_ord", (F.col("s") / F.col("n")).alias("mean"))
+    lift = p.join(fresh(mean), ["clip_id", "label_ord"]).groupBy("clip_id", "sec").agg(
+        F.collect_list(F.struct("label_ord", ((F.col("prob") + fixed.LIFT_P) / (F.col("mean") + fixed.LIFT_MEAN)).alias("lift"))).alias("lifts"))
+    first = global_style.select("clip_id", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("style")) - 1).cast("bigint").alias("whole"))
+    d = s.join(fresh(lift), ["clip_id", "sec"]).join(fresh(first), "clip_id", "left").withColumn("whole", F.coalesce("whole", "own"))
+    states = _StyleStates(len(labels), fixed.MAX_CAPTION_STYLES)
+
+    def table(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.empty((len(pdf), len(states.last)), dtype=np.int64)
+        for k, (sec, own, whole, lifts) in enumerate(zip(pdf["sec"], pdf["own"], pdf["whole"], pdf["lifts"])):
+            if sec == 0:
+                out[k] = states.then[0, whole]
                 continue
-            sc = np.array(lift, dtype="float64")
-            if k > 1:
-                sc[got[-2]] *= 0.5
-            sc[got[-1]] = -np.inf
-            used = set(got)
-            if len(used) >= fixed.MAX_CAPTION_STYLES:
-                sc[[x for x in range(len(labels)) if x not in used]] = -np.inf
-            got.append(int(np.argmax(sc)) if np.isfinite(sc).any() else labels.index(own))
-        return pd.DataFrame({"clip_id": pdf["clip_id"], "sec": pdf["sec"], "style": [labels[g] for g in got]})
-
-    r = spread(d, "clip_id").groupBy("clip_id").applyInPandas(choose, "clip_id bigint, sec bigint, style string")
+            lift = np.full(len(labels), np.nan)
+            for x in lifts:
+                lift[x["label_ord"]] = x["lift"]
+            out[k] = states.picks(lift, own)
+        return out
+
+    r = automaton.run(d, "sec", table, 0, size)
+    last = F.array(*[F.lit(labels[x] if x < len(labels) else None) for x in states.last.tolist()])
+    named = r.select("clip_id", "sec", F.get(last, F.col("state_before").cast("int")).alias("before"), F.get(last, F.col("state").cast("int")).alias("style"))
+    why = F.when(F.col("pick") == F.col("before"), "same caption style as the previous section").otherwise("ranked by lift over the clip's average")
+    return sections.select("clip_id", "sec", "pick").join(fresh(named), ["clip_id", "sec"]).select(
+        "clip_id", "sec", "style", F.when((F.col("sec") > 0) & (F.col("style") != F.col("pick")), why).alias("rule"))
+
+
+def caption_sections(sections: DataFrame, styles: DataFrame, global_style: DataFrame, totals: DataFrame) -> DataFrame:
+    """Sections of one style from the beginning of a clip to its end: (clip_id, k, start_us, end_us, style, n_changed). Equal neighbours
+    are merged; a clip without sections is one of its global style."""
     last = sections.groupBy("clip_id").agg(F.max("sec").alias("__last"))
-    s = stage(sections.join(fresh(r), ["clip_id", "sec"]).join(fresh(last), "clip_id").join(fresh(totals), "clip_id").select(
+    s = stage(sections.join(fresh(styles), ["clip_id", "sec"]).join(fresh(last), "clip_id").join(fresh(totals), "clip_id").select(
         "clip_id", "sec", F.when(F.col("sec") == 0, 0).otherwise(F.col("start_us")).cast("bigint").alias("start_us"),
         F.when(F.col("sec") == F.col("__last"), F.greatest("duration_us", "end_us")).otherwise(F.col("end_us")).alias("end_us"), "style",
-        ((F.col("style") != F.col("pick")) & (F.col("sec") > 0)).cast("bigint").alias("changed")), "caption_styles")
+        F.col("rule").isNotNull().cast("bigint").alias("changed")), "caption_styles")
     n = neighbours(s, "sec", {"ps": ("style", -1)}, keep_block=True)
     n = n.withColumn("__new", F.when(F.col("ps") == F.col("style"), 0).otherwise(1).cast("bigint"))
     n = running(n, "sec", {"k": ("sum", "__new")})
-    return n.withColumn("k", F.col("k") - 1).groupBy("clip_id", "k").agg(
+    n = n.withColumn("k", F.col("k") - 1).groupBy("clip_id", "k").agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.first("style").alias("style"), F.sum("changed").alias("n_changed"))
+    zero = F.lit(0).cast("bigint")
+    bare = totals.join(fresh(last), "clip_id", "left_anti").join(fresh(global_style), "clip_id").select(
+        "clip_id", zero.alias("k"), zero.alias("start_us"), F.col("duration_us").alias("end_us"), "style", zero.alias("n_changed"))
+    return n.unionByName(bare)
 
 
 # ---- change events and the final shot table ---------------------------------------------------------

@@ -184,16 +184,52 @@ def camera_plan(c):
     return cameras(c)
 
 
-@query("caption_style_sections")
-def caption_style_sections(c):
+def _style_sections(c):
     secs = S.sections(c.units.withColumnRenamed("unit", "shot_ord"), c.words)
-    secs = stage(secs.select("clip_id", F.col("sec_ord").alias("sec"), F.col("first_shot").alias("unit"), "start_us", "end_us"), "style_sections")
-    a = c.answers.filter("question = 'caption_style'").join(secs.select("clip_id", "unit", "sec"), ["clip_id", "unit"])
-    a = a.drop("unit").withColumnRenamed("sec", "unit")
-    lifts = D.label_lift(a, secs.select("clip_id", F.col("sec").alias("unit"), F.lit(False).alias("hook"))).withColumnRenamed("unit", "sec")
-    s = secs.join(dists(c).select("clip_id", "unit", D.best("caption_style_d").alias("pick")), ["clip_id", "unit"])
-    glob = dists(c).filter("unit = 0").select("clip_id", D.best("caption_style_d").alias("style"))
-    return D.caption_sections(s.select("clip_id", "sec", "start_us", "end_us", "pick"), lifts, glob, c.clips.select("clip_id", "duration_us"))
+    secs = secs.select("clip_id", F.col("sec_ord").alias("sec"), F.col("first_shot").alias("unit"), "start_us", "end_us")
+    return secs.join(dists(c).select("clip_id", "unit", D.best("caption_style_d").alias("pick")), ["clip_id", "unit"])
+
+
+style_secs = _lazy("style_sections", _style_sections)
+style_whole = lambda c: dists(c).filter("unit = 0").select("clip_id", D.best("caption_style_d").alias("style"))
+
+
+def _styles(c):
+    probs = c.answers.filter("question = 'caption_style'").join(style_secs(c).select("clip_id", "unit", "sec"), ["clip_id", "unit"])
+    return D.caption_styles(style_secs(c).select("clip_id", "sec", "pick"), probs.select("clip_id", "sec", "label_ord", "prob"), style_whole(c))
+
+
+styles = _lazy("styles", _styles)
+
+# the rule walked section by section; styles are numbered from 1 in menu order
+table("cs0", """SELECT s.clip_id, s.sec_ord AS sec, s.first_shot AS unit, s.start_us, s.end_us, list(a.prob ORDER BY a.label_ord) AS p, list(a.label ORDER BY a.label_ord) AS labels
+  FROM secs s JOIN answers a ON a.clip_id = s.clip_id AND a.unit = s.first_shot AND a.question = 'caption_style' GROUP BY ALL""")
+table("csm", "SELECT clip_id, list(m ORDER BY k) AS m FROM (SELECT clip_id, k, sum(v) / count(*) AS m FROM (SELECT clip_id, unnest(p) AS v, unnest(range(1, len(p) + 1)) AS k FROM cs0) GROUP BY clip_id, k) GROUP BY clip_id")
+table("cs1", "SELECT c.*, list_position(p, list_max(p)) AS own, list_transform(range(1, len(p) + 1), lambda k: (p[k] + 0.01) / (m[k] + 0.03)) AS lift FROM cs0 c JOIN csm USING (clip_id)")
+table("csf", """SELECT clip_id, sec, [own] AS used, own AS pick, CAST(0 AS INTEGER) AS prev FROM cs1 WHERE sec = 0
+  UNION ALL SELECT clip_id, sec, CASE WHEN list_contains(used, best) THEN used ELSE list_append(used, best) END, best, pick FROM (
+    SELECT *, CASE WHEN list_max(sc) > -1 THEN list_position(sc, list_max(sc)) ELSE own END AS best FROM (
+      SELECT f.clip_id, f.used, f.pick, c.sec, c.own, list_transform(range(1, len(c.lift) + 1), lambda k: CASE WHEN k = f.pick OR (len(f.used) >= 4 AND NOT list_contains(f.used, k)) THEN -1 ELSE c.lift[k] * CASE WHEN k = f.prev THEN 0.5 ELSE 1 END END) AS sc
+      FROM csf f JOIN cs1 c ON c.clip_id = f.clip_id AND c.sec = f.sec + 1))""")
+table("cslog", """SELECT c.clip_id, c.unit, CASE WHEN c.own = f.prev THEN 'same caption style as the previous section' ELSE 'ranked by lift over the clip''s average' END AS rule, c.labels[c.own] AS was, c.labels[f.pick] AS now
+  FROM cs1 c JOIN csf f USING (clip_id, sec) WHERE c.sec > 0 AND f.pick <> c.own""")
+
+
+@query("caption_style_log", "WITH RECURSIVE x AS (SELECT * FROM cslog) SELECT * FROM x")
+def caption_style_log(c):
+    s = style_secs(c).select("clip_id", "sec", "unit", "pick").join(styles(c).filter("rule IS NOT NULL"), ["clip_id", "sec"])
+    return s.select("clip_id", "unit", "rule", F.col("pick").alias("was"), F.col("style").alias("now"))
+
+
+@query("caption_style_sections", """
+WITH RECURSIVE l AS (SELECT clip_id, max(sec) AS fin FROM cs1 GROUP BY clip_id),
+x AS (SELECT c.clip_id, c.sec, CASE WHEN c.sec = 0 THEN 0 ELSE c.start_us END AS s, CASE WHEN c.sec = l.fin THEN greatest(d.duration_us, c.end_us) ELSE c.end_us END AS e, f.pick, c.labels[f.pick] AS style, c.sec > 0 AND f.pick <> c.own AS changed
+  FROM cs1 c JOIN csf f USING (clip_id, sec) JOIN l USING (clip_id) JOIN clips d USING (clip_id)),
+y AS (SELECT *, CASE WHEN pick = lag(pick) OVER (PARTITION BY clip_id ORDER BY sec) THEN 0 ELSE 1 END AS b FROM x),
+z AS (SELECT *, sum(b) OVER (PARTITION BY clip_id ORDER BY sec) - 1 AS k FROM y)
+SELECT clip_id, CAST(k AS BIGINT) AS k, min(s) AS start_us, max(e) AS end_us, min(style) AS style, count(*) FILTER (changed) AS n_changed FROM z GROUP BY clip_id, k""")
+def caption_style_sections(c):
+    return D.caption_sections(style_secs(c).select("clip_id", "sec", "start_us", "end_us"), styles(c), style_whole(c), c.clips.select("clip_id", "duration_us"))
 
 
 table("tr0", """SELECT u.clip_id, u.unit, u.start_us, CASE WHEN u.unit % 3 = 0 THEN t.label WHEN t.conf >= 0.4 AND coalesce(cam.label <> lag(cam.label) OVER (PARTITION BY u.clip_id ORDER BY u.unit), false) THEN t.label ELSE 'hard_cut' END AS wanted

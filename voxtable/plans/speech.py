@@ -168,19 +168,21 @@ def shot_split(c):
     return S.split_shots(c.words)
 
 
-@query("shot_sections", """
-WITH RECURSIVE u AS (SELECT x.*, regexp_matches(w.text, '[.!?]["'')\\]]?$') AS stop, x.unit = max(x.unit) OVER (PARTITION BY x.clip_id) AS final
-  FROM units x JOIN words w ON w.clip_id = x.clip_id AND w.i = x.last_i),
-f AS (SELECT clip_id, unit, unit AS first, start_us AS s0, CAST(0 AS BIGINT) AS sec, end_us, (final OR (end_us - start_us >= 8000000 AND stop) OR end_us - start_us >= 12000000) AS close
-      FROM u WHERE unit = 0
+table("secu", """SELECT x.*, regexp_matches(w.text, '[.!?]["'')\\]]?$') AS stop, x.unit = max(x.unit) OVER (PARTITION BY x.clip_id) AS final
+  FROM units x JOIN words w ON w.clip_id = x.clip_id AND w.i = x.last_i""")
+table("secf", """SELECT clip_id, unit, unit AS first, start_us AS s0, CAST(0 AS BIGINT) AS sec, end_us, (final OR (end_us - start_us >= 8000000 AND stop) OR end_us - start_us >= 12000000) AS close
+      FROM secu WHERE unit = 0
   UNION ALL
   SELECT u.clip_id, u.unit, CASE WHEN f.close THEN u.unit ELSE f.first END, CASE WHEN f.close THEN u.start_us ELSE f.s0 END,
     CASE WHEN f.close THEN f.sec + 1 ELSE f.sec END, u.end_us,
     (u.final OR (u.end_us - CASE WHEN f.close THEN u.start_us ELSE f.s0 END >= 8000000 AND u.stop) OR u.end_us - CASE WHEN f.close THEN u.start_us ELSE f.s0 END >= 12000000)
-  FROM f JOIN u ON u.clip_id = f.clip_id AND u.unit = f.unit + 1),
-g AS (SELECT clip_id, sec, min(unit) AS a, max(unit) AS b, min(s0) AS s, max(end_us) AS e, max(sec) OVER (PARTITION BY clip_id) AS m FROM f GROUP BY clip_id, sec),
-h AS (SELECT clip_id, CASE WHEN sec = m AND sec > 0 AND e - s < 4000000 THEN sec - 1 ELSE sec END AS sec_ord, a, b, s, e FROM g)
-SELECT clip_id, sec_ord, min(a) AS first_shot, max(b) AS last_shot, min(s) AS start_us, max(e) AS end_us FROM h GROUP BY clip_id, sec_ord""")
+  FROM secf f JOIN secu u ON u.clip_id = f.clip_id AND u.unit = f.unit + 1""")
+table("secg", "SELECT clip_id, sec, min(unit) AS a, max(unit) AS b, min(s0) AS s, max(end_us) AS e, max(sec) OVER (PARTITION BY clip_id) AS m FROM secf GROUP BY clip_id, sec")
+table("secs", """SELECT clip_id, sec_ord, min(a) AS first_shot, max(b) AS last_shot, min(s) AS start_us, max(e) AS end_us
+  FROM (SELECT clip_id, CASE WHEN sec = m AND sec > 0 AND e - s < 4000000 THEN sec - 1 ELSE sec END AS sec_ord, a, b, s, e FROM secg) GROUP BY clip_id, sec_ord""")
+
+
+@query("shot_sections", "WITH RECURSIVE x AS (SELECT * FROM secs) SELECT * FROM x")
 def shot_sections(c):
     return S.sections(c.units.withColumnRenamed("unit", "shot_ord"), c.words)
 
