@@ -6,9 +6,14 @@ over each other at that offset and compared word by word in both directions. A s
 matching words, or SHARE of the item's words where that is less, and at least three quarters of its words match; of all
 stretches on the diagonal the one of most matches is given. So an overlap is found although words were replaced.
 
+The masks of an item follow from the matches it takes to overlap with it: in every stretch that is an overlap, wherever its words
+were replaced, one of them meets matching words alone (tests go through all such stretches). So no overlap is lost to
+the seeds.
+
 The benchmark is a stated set of queries that is run against all documents, in blocks: items are dealt into blocks of
-BLOCK bytes, whose hashes go to the tasks; documents are read once per block and nothing is shuffled. Whole texts are
-searched. Items of fewer than three words are too short to be told and match nothing.
+BLOCK bytes, whose hashes go to the tasks as a sorted table; documents are read once per block and nothing is shuffled. Of several
+blocks the driver holds one at a time. Whole texts are searched. Items of fewer than three words are too short to be told and
+match nothing.
 
 Null or empty texts overlap with nothing. Repeated documents or items give a row each. Null ids are kept as they are.
 Other columns are not read. Empty tables give no rows."""
@@ -20,18 +25,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxtable.functions.stage import stage
+
 from .common import table
 from .tokens import mix, words
 
-#: Masks of weight 6, and short ones for items shorter than those.
-MASKS = ("11101011", "1101100101", "110010110001", "111111")
-SHORT = ("111", "1111", "11111")
+#: For the least number of matching words of an overlap the masks that meet every stretch with so many, of which three quarters match.
+MASKS = {
+    3: ("111", "1101", "1011"), 4: ("111", "1101"), 5: ("11101", "100111", "1101001"), 6: ("11101", "1010011", "1111"),
+    7: ("11101", "100111"), 8: ("11101", "100111"), 9: ("111011", "110100011", "11001011", "110111"),
+    10: ("111011", "1100001011", "111100001", "11111"), 11: ("111011", "1100001011", "111100001", "11111"),
+    12: ("111011", "1100001011", "111000010001"),
+}
 WORDS, SHARE = 12, 0.6
 BLOCK = 8 << 20
+#: Pairs of a document's place and an item's that are listed at once.
+PAIRS = 1 << 20
 _BITS = 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def least_matches(n: int) -> int:
+    """Matching words that make an overlap with an item of n words."""
+    return max(min(WORDS, int(np.ceil(SHARE * n))), 3)
+
+
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the words under a mask at every place; places where the mask does not fit are left out."""
     n = len(h) - len(mask) + 1
@@ -51,8 +69,9 @@ class Seeds:
         self.ids, self.words = ids, []
         for w in words(pa.array(texts, pa.large_string())):
             self.words += [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-        self.masks = [m for m in MASKS + SHORT if m in MASKS or any(len(x) == len(m) for x in self.words)]
-        found = [(mask, seed_hashes(x, mask), i) for mask in self.masks for i, x in enumerate(self.words) if mask in MASKS or len(x) == len(mask)]
+        least = [least_matches(len(x)) for x in self.words]
+        self.masks = list(dict.fromkeys(m for k in sorted(set(least)) for m in MASKS[k]))
+        found = [(mask, seed_hashes(x, mask), i) for i, x in enumerate(self.words) if len(x) >= 3 for mask in MASKS[least[i]]]
         key = np.concatenate([h for _, h, _ in found]) if found else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(h), i) for _, h, i in found]) if found else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(h)) for _, h, _ in found]) if found else np.zeros(0, np.int64)
@@ -67,16 +86,20 @@ class Seeds:
 
     def meetings(self, h: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in h where the item would begin, item) of all equal seeds; each once."""
-        at, items = [], []
+        both = np.zeros((2, 0), np.int64)
         for mask in self.masks:
             s = seed_hashes(h, mask)
             q = np.flatnonzero(hit[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.key, s[q]), np.searchsorted(self.key, s[q], side="right")
             n = hi - lo
-            e = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at.append(np.repeat(q, n) - self.place[e])
-            items.append(self.item[e])
-        both = np.unique(np.stack([np.concatenate(at), np.concatenate(items)]), axis=1) if at else np.zeros((2, 0), np.int64)
+            # A line that many items and places share makes many pairs: so many at a time, each kept once.
+            cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), side="right")
+            for x, y in zip([0, *cuts], [*cuts, len(q)]):
+                k = n[x:y]
+                e = np.repeat(lo[x:y] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                if len(e):
+                    new = np.stack([np.repeat(q[x:y], k) - self.place[e], self.item[e]])
+                    both = np.unique(np.concatenate([both, new], axis=1), axis=1)
         return both[0], both[1]
 
 
@@ -86,7 +109,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, at: int) -> tuple[int, int, int]
     a, b = max(at, 0), min(at + len(item), len(doc))
     same = doc[a:b] == item[a - at:b - at]
     count = np.concatenate([[0], np.cumsum(same)])
-    least = max(min(WORDS, int(np.ceil(SHARE * len(item)))), 3)
+    least = least_matches(len(item))
     if count[-1] < least:
         return None
     # A match counts 1 and a substituted word -3: a stretch is good from 0 on, and the best one begins and ends on a match.
@@ -139,6 +162,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         block = spark.sparkContext.broadcast(Seeds([r[0] for r in rows], [r[1] for r in rows]))
         found = plain.mapInArrow(_searcher(block), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint, matches bigint, item_words bigint")
+        if blocks > 1:
+            found = stage(found, "contaminated-by-block")
+            block.destroy()
         out = found if out is None else out.unionAll(found)
     return out
 
