@@ -13,10 +13,11 @@
    names the most similar of its neighbours in every tree, and every document is compared with the best of these below
    it, which ties most groups together. The second search names all candidates whose ends are not yet in one
    component; a pair inside a component cannot change the result, so a large group of copies costs a link per member.
+4. Where more rows share a prefix than the window holds, and they are not one component, the whole region is compared on full
+   sets (see ``crowds``).
 
 A pair of similarity 0.75 shares the first value in a tree with chance 0.75, so outside crowded regions it escapes all
-16 trees with a chance below 1e-9. In a region where k values are needed to come down to the window the chance is
-(1 - 0.75 ** k) ** 16.
+16 trees with a chance below 1e-9; in crowds of up to CELL rows a cell it escapes with a chance of 2e-5.
 
 Null or empty text: empty set, own component, kept. Fewer than five words: the whole word sequence is one shingle.
 Repeated doc_ids are treated as one document of either text (ids are expected to be unique). Null doc_ids are dropped.
@@ -34,6 +35,7 @@ from pyspark.taskcontext import TaskContext
 from voxtable.functions.stage import stage
 
 from .common import components, only, shuffle_partitions, table
+from .crowds import crowd_links
 from .tokens import Words, grams, mix, words
 
 WIDTH = 5
@@ -226,7 +228,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not left.isEmpty():
         more = stage(confirm(left, plain), "more")
         if not more.isEmpty():
-            comp = stage(components(links.unionAll(more)), "components")
+            links = links.unionAll(more)
+            comp = stage(components(links), "components")
+            grouped = stage(reps.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "group").alias("group"), "signature"), "grouped")
+    inside = crowd_links(grouped, plain, _sets, VALUES, WINDOW)
+    if inside is not None:
+        inside = stage(inside, "inside")
+        if not inside.isEmpty():
+            comp = stage(components(links.unionAll(inside)), "components")
     named = member.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     bare = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.unionAll(bare).withColumn("kept", F.col("doc_id") == F.col("component_id"))
