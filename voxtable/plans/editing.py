@@ -111,12 +111,54 @@ planned = _lazy("planned_overlays", _planned)
 settled = _lazy("settled", lambda c: D.settle_visuals(planned(c), dists(c), picks(c)))
 
 
-@query("planned_overlays")
+# the rules walked in order of rank, one clip's lists at a time
+table("ovs", """SELECT u.clip_id, u.unit, u.start_us, u.end_us, p.overlay, p.graphic, g.word, h.hook_end_us, c.duration_us, a.p_none, a.p_card, a.p_pill, a.p_giant,
+  CASE WHEN h.hook_end_us > 0 AND u.start_us < h.hook_end_us - 200000 THEN 'none' ELSE p.overlay END AS now0, u.start_us >= h.hook_end_us + 1500000 AS late
+  FROM units u JOIN pick_rows p USING (clip_id, unit) LEFT JOIN giants g USING (clip_id, unit) JOIN hooks h USING (clip_id) JOIN clips c USING (clip_id) JOIN (
+    SELECT clip_id, unit, max(prob) FILTER (label = 'none') AS p_none, max(prob) FILTER (label = 'card') AS p_card, max(prob) FILTER (label = 'keyword_pill') AS p_pill, max(prob) FILTER (label = 'giant_word') AS p_giant
+    FROM answers WHERE question = 'overlay' GROUP BY clip_id, unit) a USING (clip_id, unit)""")
+table("ovr", "SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY p_giant DESC, unit) AS rn FROM ovs WHERE now0 = 'giant_word' AND late AND word IS NOT NULL")
+table("ovk", """SELECT clip_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(u BIGINT, s BIGINT, p DOUBLE)[]) AS kept FROM clips
+  UNION ALL SELECT k.clip_id, r.rn, CASE WHEN len(list_filter(k.kept, lambda x: abs(x.s - r.start_us) < 8500000)) > 0 THEN k.kept ELSE list_append(k.kept, {'u': r.unit, 's': r.start_us, 'p': r.p_giant}) END
+  FROM ovk k JOIN ovr r ON r.clip_id = k.clip_id AND r.rn = k.rn + 1""")
+table("ovf", "SELECT clip_id, arg_max(kept, rn) AS kept FROM ovk GROUP BY clip_id")
+table("ovq", """SELECT o.clip_id, o.unit, o.start_us, o.p_giant, row_number() OVER (PARTITION BY o.clip_id ORDER BY o.p_giant DESC, o.unit) AS rn, CAST(floor((o.duration_us - o.hook_end_us) / 14000000) AS BIGINT) - len(f.kept) AS short
+  FROM ovs o JOIN ovf f USING (clip_id) WHERE o.late AND o.word IS NOT NULL AND len(list_filter(f.kept, lambda x: x.u = o.unit)) = 0""")
+table("ovm", """SELECT clip_id, CAST(0 AS BIGINT) AS rn, kept, CAST([] AS BIGINT[]) AS more FROM ovf
+  UNION ALL SELECT clip_id, rn, CASE WHEN take THEN list_append(kept, {'u': unit, 's': start_us, 'p': p_giant}) ELSE kept END, CASE WHEN take THEN list_append(more, unit) ELSE more END FROM (
+    SELECT m.clip_id, q.rn, m.kept, m.more, q.unit, q.start_us, q.p_giant, len(m.more) < q.short AND len(list_filter(m.kept, lambda x: abs(x.s - q.start_us) < 8500000)) = 0 AS take
+    FROM ovm m JOIN ovq q ON q.clip_id = m.clip_id AND q.rn = m.rn + 1)""")
+table("ovn", """SELECT *, CASE WHEN added THEN 'giant_word' ELSE mid END AS now1 FROM (
+  SELECT *, CASE WHEN NOT refused THEN NULL WHEN NOT late THEN 'giant word too close to the hook' WHEN word IS NOT NULL OR near THEN 'giant words at least 8.5 s apart' ELSE 'no plain word of 3 to 12 letters in this shot' END AS why,
+    CASE WHEN NOT refused THEN now0 WHEN p_none >= p_card AND p_none >= p_pill THEN 'none' WHEN p_card >= p_pill THEN 'card' ELSE 'keyword_pill' END AS mid FROM (
+    SELECT o.*, list_contains(m.more, o.unit) AS added, len(list_filter(f.kept, lambda x: x.u = o.unit)) > 0 AS is_kept, o.now0 = 'giant_word' AND len(list_filter(f.kept, lambda x: x.u = o.unit)) = 0 AS refused,
+      len(list_filter(f.kept, lambda x: abs(x.s - o.start_us) < 8500000 AND (x.p > o.p_giant OR (x.p = o.p_giant AND x.u < o.unit)))) > 0 AS near
+    FROM ovs o JOIN ovf f USING (clip_id) JOIN (SELECT clip_id, arg_max(more, rn) AS more FROM ovm GROUP BY clip_id) m USING (clip_id)))""")
+table("ovc", "SELECT clip_id, unit, start_us, end_us, row_number() OVER (PARTITION BY clip_id ORDER BY graphic, unit) AS rn FROM ovn WHERE now1 IN ('card', 'keyword_pill')")
+table("ovt", """SELECT clip_id, list({'u': unit, 's': start_us, 'e': end_us, 'c': now1 <> 'none'} ORDER BY unit) AS shots, min(start_us) AS lo, max(end_us) AS hi, max(greatest(1000000, duration_us - hook_end_us)) AS room,
+  coalesce(sum(end_us - start_us) FILTER (now1 IN ('card', 'keyword_pill')), 0) AS shown FROM ovn GROUP BY clip_id""")
+table("ovd", """SELECT clip_id, CAST(0 AS BIGINT) AS rn, shots, CAST(shown AS DOUBLE) AS shown, CAST([] AS BIGINT[]) AS gone FROM ovt
+  UNION ALL SELECT clip_id, rn, CASE WHEN drops THEN list_transform(shots, lambda y: {'u': y.u, 's': y.s, 'e': y.e, 'c': y.c AND y.u <> unit}) ELSE shots END, CASE WHEN drops THEN shown - took ELSE shown END, CASE WHEN drops THEN list_append(gone, unit) ELSE gone END FROM (
+    SELECT d.clip_id, c.rn, d.shots, d.shown, d.gone, c.unit, c.end_us - c.start_us AS took, d.shown / t.room > 0.55
+      AND coalesce(list_min(list_transform(list_filter(d.shots, lambda y: y.u > c.unit AND y.c), lambda y: y.s)), t.hi) - coalesce(list_max(list_transform(list_filter(d.shots, lambda y: y.u < c.unit AND y.c), lambda y: y.e)), t.lo) <= 6000000 AS drops
+    FROM ovd d JOIN ovc c ON c.clip_id = d.clip_id AND c.rn = d.rn + 1 JOIN ovt t ON t.clip_id = d.clip_id)""")
+table("ovp", """SELECT n.clip_id, n.unit, n.graphic, CASE WHEN list_contains(g.gone, n.unit) THEN 'none' ELSE now1 END AS overlay, CASE WHEN is_kept OR added THEN word END AS giant,
+  concat_ws(' | ', CASE WHEN now0 <> n.overlay THEN 'hook window stays clean: ' || n.overlay || ' -> none' END, why || ': giant_word -> ' || mid,
+    CASE WHEN added THEN 'no giant word in the first ' || CAST(floor(start_us / 1e6 + 0.5) AS BIGINT) || ' s of a ' || CAST(floor(duration_us / 1e6 + 0.5) AS BIGINT) || ' s clip: best supported shot promoted: ' || mid || ' -> giant_word' END,
+    CASE WHEN list_contains(g.gone, n.unit) THEN 'card density cap (55% of the speaking time): ' || now1 || ' -> none' END) AS log
+  FROM ovn n JOIN (SELECT clip_id, arg_max(gone, rn) AS gone FROM ovd GROUP BY clip_id) g USING (clip_id)""")
+
+
+@query("planned_overlays", "WITH RECURSIVE x AS (SELECT * FROM ovp) SELECT clip_id, unit, overlay, giant, log FROM x")
 def planned_overlays(c):
     return planned(c).select("clip_id", "unit", "overlay", "giant", F.array_join("log", " | ").alias("log"))
 
 
-@query("settled_visuals")
+@query("settled_visuals", """
+WITH RECURSIVE x AS (SELECT * FROM ovp), t AS (SELECT clip_id, unit, arg_max(label, (prob, -label_ord)) AS alt FROM answers WHERE question = 'template' AND label <> 'keyword_pill' GROUP BY clip_id, unit)
+SELECT x.clip_id, x.unit, x.overlay, x.giant, CASE WHEN x.overlay IN ('card', 'keyword_pill') THEN greatest(x.graphic, 0.55) ELSE least(x.graphic, 0.45) END AS needs,
+  CASE WHEN x.overlay = 'keyword_pill' THEN 'keyword_pill' WHEN x.overlay = 'card' AND p.template = 'keyword_pill' THEN t.alt ELSE p.template END AS template
+FROM x JOIN pick_rows p USING (clip_id, unit) JOIN t USING (clip_id, unit)""")
 def settled_visuals(c):
     return settled(c)
 
