@@ -8,6 +8,7 @@ from .disclosure import op7_disclosure
 from .language import op6_language
 from .licences import op10_licences
 from .minhash_forest import op5_minhash_forest
+from .oracles import ORACLES
 from .periodic_runs import op11_square_catching
 from .spaced_seeds import op8_spaced_seeds
 from .structure_repair import op12_branch_and_bound
@@ -17,4 +18,5 @@ from .warc import op3_warc
 
 QUERIES = {f.__name__: f for f in (op1_tag_ratio, op2_backoff_automaton, op3_warc, op4_cap_filters, op5_minhash_forest, op6_language, op7_disclosure, op8_spaced_seeds, op9_bin_slack, op10_licences,
                                   op11_square_catching, op12_branch_and_bound, op13_syncmers)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
