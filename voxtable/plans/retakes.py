@@ -206,7 +206,7 @@ def filler_words(c):
     return R.filler_words(c.words, R.removed_words(accepted(c)))
 
 
-@query("scored_by_user_function")
+@query("scored_by_user_function", "WITH RECURSIVE " + ACCEPT + " SELECT * FROM accepted")
 def scored_by_user_function(c):
     """A user scorer over the request batches, with a clip that fails."""
     def fn(pdf):
