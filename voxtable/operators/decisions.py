@@ -196,8 +196,8 @@ def plan_overlays(shots: DataFrame, hook: DataFrame, totals: DataFrame, cap: flo
 
 def settle_visuals(planned: DataFrame, dists: DataFrame, templates: DataFrame) -> DataFrame:
     """Needs and templates that agree with the final overlay: (clip_id, unit, overlay, giant, needs, template)."""
-    p = planned.join(fresh(templates.select("clip_id", "unit", "graphic", F.col("template").alias("__t"))), ["clip_id", "unit"]) \
-        .join(fresh(dists.select("clip_id", "unit", "template_d")), ["clip_id", "unit"])
+    p = planned.join(fresh(templates.select("clip_id", "unit", F.coalesce("graphic", F.lit(0.0)).alias("graphic"), F.col("template").alias("__t"))), ["clip_id", "unit"], "left") \
+        .join(fresh(dists.select("clip_id", "unit", "template_d")), ["clip_id", "unit"], "left").withColumn("graphic", F.coalesce("graphic", F.lit(0.0)))
     card = F.col("overlay").isin("card", "keyword_pill")
     needs = F.when(card, F.greatest("graphic", F.lit(0.55))).otherwise(F.least("graphic", F.lit(0.45)))
     tpl = F.when(F.col("overlay") == "keyword_pill", "keyword_pill").when(
@@ -237,7 +237,7 @@ def hold_merge(shots: DataFrame) -> DataFrame:
 
 def held_beats(shots: DataFrame, beats: DataFrame, dists: DataFrame) -> DataFrame:
     """Beats with span, needs, template and the emphasis of the shot surest of the template."""
-    s = shots.join(fresh(beats), ["clip_id", "unit"]).join(fresh(dists.select("clip_id", "unit", "template_d")), ["clip_id", "unit"])
+    s = shots.join(fresh(beats), ["clip_id", "unit"]).join(fresh(dists.select("clip_id", "unit", "template_d")), ["clip_id", "unit"], "left")
     s = s.withColumn("p", prob_of("template_d", F.col("template")))
     return s.groupBy("clip_id", "beat").agg(
         F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("unit").alias("last_unit"),
@@ -255,7 +255,9 @@ def assign_cameras(shots: DataFrame, lifts: DataFrame) -> DataFrame:
     none = n                                        # "no camera yet"
     wide = lifts.groupBy("clip_id", "unit").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("label_ord", "lift"))), lambda x: x["lift"]).alias("lifts"))
-    d = shots.join(fresh(wide), ["clip_id", "unit"])
+    # a shot without answers is sure of its own pick
+    own = F.transform(F.array(*[F.lit(c) for c in CAMERAS]), lambda x: F.when(x == F.col("pick"), 1.0).otherwise(0.0))
+    d = shots.join(fresh(wide), ["clip_id", "unit"], "left").withColumn("lifts", F.coalesce("lifts", own))
 
     def table(pdf: pd.DataFrame) -> np.ndarray:
         lift = np.stack(pdf["lifts"].to_numpy())
