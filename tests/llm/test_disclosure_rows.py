@@ -1,6 +1,7 @@
 """Spans belong to rows, not to ids; secrets are added spans; long texts go through in bounded memory."""
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from voxtable.llm import bin_slack, disclosure, tokens
