@@ -1,6 +1,9 @@
 """Joins of tables that have a row per second or per piece are not broadcast, however small their files are."""
+import os
+
 import numpy as np
-from voxtable.functions.seq import fresh
+
+from voxtable.functions.seq import fresh, running
 from voxtable.functions.stage import stage
 from voxtable.operators import automaton, framing as FR
 
@@ -25,3 +28,22 @@ def test_states_of_every_row_are_not_broadcast(spark, rows):
     got = d.join(fresh(states.select("clip_id", "n", "state")), ["clip_id", "n"])
     assert "Broadcast" not in plan(got)
     assert [r.state for r in got.orderBy("n").collect()] == [1, 0, 1, 0, 1]
+
+
+def test_carries_of_blocks_are_not_broadcast(spark, rows):
+    d = stage(rows("clip_id bigint, n bigint", *((c, k) for c in (1, 2) for k in range(5))), "numbers")
+    got = running(d, "n", {"total": ("sum", "n")}, size=2)
+    assert "Broadcast" not in plan(got)
+    assert sorted((r.clip_id, r.n, r.total) for r in got.collect()) == [(c, k, k * (k + 1) // 2) for c in (1, 2) for k in range(5)]
+
+
+def test_files_count_for_more_than_their_size(spark):
+    """A table whose rows are far larger than its file is not broadcast by the size of the file."""
+    few = stage(spark.range(20_000).selectExpr("id DIV 100 AS clip_id", "id % 100 AS sec"), "seconds")
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in few.inputFiles())
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2 * size)
+    try:
+        assert "Broadcast" not in plan(few.join(fresh(few), ["clip_id", "sec"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
