@@ -47,3 +47,13 @@ def test_files_count_for_more_than_their_size(spark):
         assert "Broadcast" not in plan(few.join(fresh(few), ["clip_id", "sec"]))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_running_sums_in_turn_share_a_shuffle(spark, rows):
+    d = rows("clip_id bigint, n bigint, v bigint", *((c, k, 1) for c in (1, 2) for k in range(9)))
+    a = running(d, "n", {"x": ("sum", "v")}, size=4, keep_block=True)
+    b = running(a, "n", {"y": ("sum", "x")}, size=4)
+    again = running(a.drop("__blk"), "n", {"y": ("sum", "x")}, size=4)
+    shuffles = lambda df: sum("Exchange hashpartitioning(clip_id" in x and "__blk" in x for x in plan(df).splitlines())
+    assert b.columns == again.columns and sorted(b.collect()) == sorted(again.collect())
+    assert shuffles(b) < shuffles(again)
