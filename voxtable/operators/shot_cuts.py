@@ -105,6 +105,18 @@ class _Batch:
         return 1 + len(own) - int(np.searchsorted(own, self.rows[k]["next_head"] - fixed.SHOT_LOOKBACK_US))
 
 
+def least_cost_cuts(start_us: np.ndarray, end_us: np.ndarray, bq: np.ndarray, final: bool) -> list[int]:
+    """The ends (exclusive) of the shots of one block of words that nothing comes before."""
+    n = len(start_us)
+    block = _Batch([{"i": np.arange(n), "base": 0, "start_us": start_us, "end_us": end_us, "bq": bq, "final": final, "next_head": None}])
+    _, words = block.walk(np.zeros((1, 1, 1), np.int64), True)
+    cuts, j = [], n
+    while j:
+        cuts.append(j)
+        j -= int(words[0, j - 1])
+    return cuts[::-1]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[list[dict]]:
     """Block rows as dicts with arrays, a few at a time."""
     lists = {c: batch.column(c) for c in ("i", "start_us", "end_us", "bq")}
