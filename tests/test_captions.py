@@ -1,10 +1,11 @@
 """Caption styles per section against a walk over each clip, in blocks of a few sections."""
 import random
 
+import numpy as np
 import pytest
 
 from voxtable.functions import fixed
-from voxtable.operators import decisions as D
+from voxtable.operators import automaton, decisions as D
 
 LABELS = fixed.MENUS["caption_style"]
 
@@ -47,3 +48,23 @@ def test_a_clip_without_sections_has_its_global_style(spark, rows):
     styles = spark.createDataFrame([], "clip_id bigint, sec bigint, style string, rule string")
     got = D.caption_sections(none, styles, rows("clip_id bigint, style string", (3, "word_pop")), rows("clip_id bigint, duration_us bigint", (3, 9_000_000))).collect()
     assert [tuple(x) for x in got] == [(3, 0, 0, 9_000_000, "word_pop", 0)]
+
+
+def test_styles_of_one_state_need_not_be_solved_for_all():
+    """A section after one state costs one row, and a block's effect is that of the states one by one."""
+    r = np.random.default_rng(5)
+    states = D._StyleStates(len(LABELS), fixed.MAX_CAPTION_STYLES)
+    n = len(states.last)
+    lifts, own = r.random((6, len(LABELS))), r.integers(0, len(LABELS), 6)
+    lifts[2, 1:4] = np.nan
+    after = lambda k, before: states.picks(lifts[k], own[k], before)
+    assert after(0, np.array([7])).shape == (1,)
+    want = np.arange(n)
+    for k in range(6):
+        want = after(k, np.arange(n))[want]
+    assert (automaton._effect(after, 6, n) == want).all()
+    for s in (0, 1, 17, n - 1):
+        v = np.array([s])
+        for k in range(6):
+            v = after(k, v)
+        assert v[0] == want[s]
