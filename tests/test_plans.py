@@ -5,7 +5,7 @@ import numpy as np
 
 from voxtable.functions.seq import fresh, running
 from voxtable.functions.stage import stage
-from voxtable.operators import automaton, framing as FR
+from voxtable.operators import automaton, framing as FR, keep
 
 
 def plan(df):
@@ -57,3 +57,15 @@ def test_running_sums_in_turn_share_a_shuffle(spark, rows):
     shuffles = lambda df: sum("Exchange hashpartitioning(clip_id" in x and "__blk" in x for x in plan(df).splitlines())
     assert b.columns == again.columns and sorted(b.collect()) == sorted(again.collect())
     assert shuffles(b) < shuffles(again)
+
+
+def test_gaps_carry_no_texts_and_no_inputs(spark, rows):
+    """What a gap's cut was computed from is not written with it; a sign that ends a phrase keeps its wider pads."""
+    words = rows("clip_id bigint, i int, text string, start_us bigint, end_us bigint", *((1, k, t, k * 400_000, k * 400_000 + 200_000) for k, t in enumerate(("a.", "b", None, "d"))))
+    edges = rows("clip_id bigint, i bigint, onset bigint, onset_quiet boolean, offset bigint, offset_quiet boolean", *((1, k, k * 40, True, k * 40 + 20, True) for k in range(4)))
+    clips = rows("clip_id bigint, duration_us bigint, fps_num int, fps_den int", (1, 1_600_000, 30, 1))
+    g = keep.plan_gaps(words, rows("clip_id bigint, i bigint"), edges, clips)
+    assert not {"a_text", "a_quiet", "a_next", "b_quiet", "b_prev", "duration_us", "total", "lead", "tail"} & set(g.columns)
+    # half of the 0.2 s of air would allow 0.1 s: 80 and 50 ms after a sign, 50 and 40 ms inside a phrase
+    assert [(r.g, r.start // 60, r.end // 60) for r in g.orderBy("g").collect()] == [
+        (0, 0, 0), (1, 280_000, 350_000), (2, 650_000, 760_000), (3, 1_050_000, 1_160_000), (4, 1_480_000, 1_600_000)]
