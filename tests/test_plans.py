@@ -5,7 +5,7 @@ import numpy as np
 
 from voxtable.functions.seq import fresh, running
 from voxtable.functions.stage import stage
-from voxtable.operators import automaton, framing as FR, keep
+from voxtable.operators import automaton, framing as FR, keep, repeats
 
 
 def plan(df):
@@ -69,3 +69,14 @@ def test_gaps_carry_no_texts_and_no_inputs(spark, rows):
     # half of the 0.2 s of air would allow 0.1 s: 80 and 50 ms after a sign, 50 and 40 ms inside a phrase
     assert [(r.g, r.start // 60, r.end // 60) for r in g.orderBy("g").collect()] == [
         (0, 0, 0), (1, 280_000, 350_000), (2, 650_000, 760_000), (3, 1_050_000, 1_160_000), (4, 1_480_000, 1_600_000)]
+
+
+def test_marks_carry_only_what_is_looked_up(spark, words):
+    """Neighbours' flags are not written with the marks made from them, and texts only where they are shown."""
+    w = words(("So,", 0, 0.2), ("we", 0.3, 0.5), ("go.", 0.5, 0.7), ("Then", 1.2, 1.4))
+    full, bare = repeats.marked(w), repeats.marked(w, texts=False)
+    assert set(full.columns) - set(bare.columns) == {"text", "end_us"}
+    assert not {"comma", "pstop", "pcomma", "pe"} & set(full.columns)
+    got = bare.select("i", "n", "pn", "opens", "at_boundary", "last_stop", "last_gap", "next_stop").orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(0, "so", None, True, True, None, None, 2), (1, "we", "so", True, True, None, None, 2),
+                                       (2, "go", "we", False, False, None, None, 2), (3, "then", "go", True, True, 3, 3, None)]
