@@ -2,10 +2,12 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from voxtable.functions.seq import fresh, running
 from voxtable.functions.stage import stage
 from voxtable.operators import automaton, framing as FR, keep, repeats
+from voxtable.plans.corpus import Corpus
 
 
 def plan(df):
@@ -80,3 +82,26 @@ def test_marks_carry_only_what_is_looked_up(spark, words):
     got = bare.select("i", "n", "pn", "opens", "at_boundary", "last_stop", "last_gap", "next_stop").orderBy("i").collect()
     assert [tuple(r) for r in got] == [(0, "so", None, True, True, None, None, 2), (1, "we", "so", True, True, None, None, 2),
                                        (2, "go", "we", False, False, None, None, 2), (3, "then", "go", True, True, 3, 3, None)]
+
+
+def test_staged_tables_are_read_in_small_splits(spark):
+    """Sixteen MB of a staged table make some hundred in memory; a task gets no more of them, whatever wrote the file."""
+    t = stage(spark.range(0, 4_000_000, 1, 1).select(F.rand(1).alias("prob")), "wide")
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert known != "134217728b"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 << 20))
+    try:
+        shares = [n for n in t.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+    assert len(shares) > 1 and sum(shares) == 4_000_000
+
+
+def test_answers_are_made_by_several_tasks(spark, rows):
+    """All units lie in one small file; their answers, sixty rows each, are not made by the task that reads it."""
+    c = Corpus(spark, "")
+    c.__dict__["units"] = stage(rows("clip_id bigint, unit bigint", *((1, k) for k in range(40))).coalesce(1), "few_units")
+    assert len(c.units.inputFiles()) == 1
+    assert len(c.answers.inputFiles()) > 1
+    assert c.answers.select("unit").distinct().count() == 40
+    assert c.answers.groupBy("unit", "question").agg(F.sum("prob").alias("p")).filter("abs(p - 1) > 1e-9").count() == 0
