@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions.seq import fresh, running
 from voxtable.functions.stage import stage
-from voxtable.operators import automaton, framing as FR, keep, repeats
+from voxtable.operators import automaton, framing as FR, keep, repeats, structure
 from voxtable.plans.corpus import Corpus
 
 
@@ -105,3 +105,19 @@ def test_answers_are_made_by_several_tasks(spark, rows):
     assert len(c.answers.inputFiles()) > 1
     assert c.answers.select("unit").distinct().count() == 40
     assert c.answers.groupBy("unit", "question").agg(F.sum("prob").alias("p")).filter("abs(p - 1) > 1e-9").count() == 0
+
+
+def test_opening_needs_only_the_best_full_template(spark, rows):
+    """The opening's rule gives the same from the distribution and from its best template, and moves no distribution then."""
+    d = lambda *p: [(k, t, x) for k, (t, x) in enumerate(p)]
+    s = rows("clip_id bigint, unit bigint, start_us bigint, end_us bigint, has_visual boolean, template string, layout string, transition_in string, punch boolean, "
+             "template_d array<struct<label_ord:bigint,label:string,prob:double>>",
+             (1, 0, 0, 900, True, "versus", "split", "fade", True, d(("big_statement", 0.1), ("versus", 0.9))),
+             (1, 1, 900, 900_000, True, "versus", "split", "fade", True, None),
+             (1, 2, 900_000, 1_800_000, True, None, "full", "fade", False, d(("big_statement", 1.0))))
+    hook = rows("clip_id bigint, hook_end_us bigint", (1, 500_000))
+    lean = structure.apply_hook(structure.full_templates(s), hook)
+    whole = structure.apply_hook(s, hook)
+    same = [c for c in whole.columns if c != "template_d"]
+    assert "template_d" not in lean.columns
+    assert sorted(map(str, lean.select(*same).collect())) == sorted(map(str, whole.select(*same).collect()))
