@@ -121,3 +121,19 @@ def test_opening_needs_only_the_best_full_template(spark, rows):
     same = [c for c in whole.columns if c != "template_d"]
     assert "template_d" not in lean.columns
     assert sorted(map(str, lean.select(*same).collect())) == sorted(map(str, whole.select(*same).collect()))
+
+
+def test_a_staged_table_leaves_no_shuffle(spark):
+    """What a write shuffled goes with it; the session's own setting stays."""
+    import time
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in (files.getAllFiles().apply(k).getName() for k in range(files.getAllFiles().size())) if n.startswith("shuffle_")}
+    known, before = spark.conf.get(_CLEAN, None), shuffled()
+    t = stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n")), "shuffled")
+    for _ in range(20):
+        if not shuffled() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert t.count() == 100 and spark.conf.get(_CLEAN, None) == known
